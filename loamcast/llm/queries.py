@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loamcast.llm import simhash, warc
+from loamcast.llm import line_dedup, mixing, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,16 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = (F.col("__size") * F.col("copies")).alias("taken")
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", F.col("__size").alias("size"), "source_size", "target", taken)
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.clean(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), F.col("source"))
+    return found.select("doc_id", F.col("__lines").cast("long").alias("n_lines"), F.col("__dropped").cast("long").alias("n_dropped"), F.md5("text").alias("kept_md5"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = warc.write(_table(spark, sf_dir, "pages"))
     return warc.read(spark, where, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -23,7 +33,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_mixing": op3_mixing,
     "op5_warc": op5_warc,
+    "op7_line_dedup": op7_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_mixing": mixing.ORACLE,
+    "op7_line_dedup": line_dedup.ORACLE,
+}
