@@ -129,10 +129,10 @@ s as (select source, sum(size)::bigint as source_size from k group by source),
 r as (select *, [5, 2, 1][(row_number() over (order by source asc nulls last) - 1) % 3 + 1] as w, (select sum(source_size) from s)::double as total from s),
 f as (
   select *, (total * 1.5::double - coalesce(sum(source_size) over (o rows between unbounded preceding and 1 preceding), 0)::double * 2.0::double)
-    / (sum(w) over (o rows between current row and unbounded following))::double as level, row_number() over o as at
+    / (sum(w) over (o rows between current row and unbounded following))::double as level, row_number() over o as pos
   from r window o as (order by source_size::double * 2.0::double / w asc, source asc nulls last)),
-g as (select min_by(level, at) as lv, min(at) as first_open from f where level <= source_size::double * 2.0::double / w),
-t as (select source, source_size, case when at >= first_open then w::double * lv else source_size::double * 2.0::double end as target from f, g),
+g as (select min_by(level, pos) as lv, min(pos) as first_open from f where level <= source_size::double * 2.0::double / w),
+t as (select source, source_size, case when pos >= first_open then w::double * lv else source_size::double * 2.0::double end as target from f, g),
 e as (select *, case when source_size > 0 then floor(target / source_size) else 0 end as epochs from t),
 c as (
   select k.*, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size as rest,

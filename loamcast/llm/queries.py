@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loamcast.llm import line_dedup, mixing, simhash, warc
+from loamcast.llm import license_scan, line_dedup, mixing, quality, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,16 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("__lines").cast("long").alias("n_lines"), F.col("__dropped").cast("long").alias("n_dropped"), F.md5("text").alias("kept_md5"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.score(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = warc.write(_table(spark, sf_dir, "pages"))
     return warc.read(spark, where, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -34,8 +44,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_mixing": op3_mixing,
+    "op4_quality": op4_quality,
     "op5_warc": op5_warc,
     "op7_line_dedup": op7_line_dedup,
+    "op8_licenses": op8_licenses,
 }
 
 ORACLES: dict[str, str] = {
