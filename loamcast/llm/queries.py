@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loamcast.llm import license_scan, line_dedup, mixing, quality, simhash, warc
+from loamcast.llm import bpe, license_scan, line_dedup, mixing, quality, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", F.col("__size").alias("size"), "source_size", "target", taken)
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    found = bpe.round_trip(_table(spark, sf_dir, "documents"), ranks, pattern)
+    return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.clean(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), F.col("source"))
     return found.select("doc_id", F.col("__lines").cast("long").alias("n_lines"), F.col("__dropped").cast("long").alias("n_dropped"), F.md5("text").alias("kept_md5"))
@@ -46,6 +53,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_quality": op4_quality,
     "op5_warc": op5_warc,
+    "op6_bpe": op6_bpe,
     "op7_line_dedup": op7_line_dedup,
     "op8_licenses": op8_licenses,
 }
