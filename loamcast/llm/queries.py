@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loamcast.llm import bpe, license_scan, line_dedup, mixing, quality, simhash, suffix_dedup, warc
+from loamcast.llm import bpe, license_scan, line_dedup, lm_score, mixing, quality, simhash, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = (F.col("__size") * F.col("copies")).alias("taken")
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", F.col("__size").alias("size"), "source_size", "target", taken)
@@ -55,6 +59,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_lm_score": op2_lm_score,
     "op3_mixing": op3_mixing,
     "op4_quality": op4_quality,
     "op5_warc": op5_warc,
