@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loamcast.llm import bpe, license_scan, line_dedup, lm_score, mixing, quality, simhash, suffix_dedup, warc
+from loamcast.llm import bpe, cover_tree, license_scan, line_dedup, lm_score, mixing, quality, simhash, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, where, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.cut(_table(spark, sf_dir, "documents"), kept=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -66,10 +70,12 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op7_line_dedup": op7_line_dedup,
     "op8_licenses": op8_licenses,
+    "op9_cover_tree": op9_cover_tree,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op3_mixing": mixing.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
+    "op9_cover_tree": cover_tree.ORACLE,
 }
