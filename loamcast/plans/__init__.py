@@ -1 +1 @@
-"""Part of loamcast."""
+"""Write plans: from column specifications to writer options."""
