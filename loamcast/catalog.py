@@ -2,5 +2,499 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from loamcast.functions import convert, geo, variant
+from loamcast.operators import bloom, dictionary, encodings, layout, nested, stats
+from loamcast.operators.order import numbered
+from loamcast.sources import frames, sink
+from loamcast.storage import shared_path
+from loamcast.streaming import rows as stream_rows_
+from loamcast.types import ColumnSpec
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+LINEITEM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+_LI = ", ".join(LINEITEM)
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Row groups and statistics.
+
+
+@_query(f"""
+with p as (select *, row_number() over (order by {_LI}) - 1 as pos from lineitem),
+g as (select *, case when pos < 1000 then 0 else (pos - 1000) // 20000 + 1 end as row_group from p)
+select row_group::bigint as row_group, count(*) as n_rows, min(l_orderkey) as l_orderkey_min, max(l_orderkey) as l_orderkey_max, count(*) - count(l_orderkey) as l_orderkey_nulls,
+  case when min(l_discount) = 0 then -0.0::double else min(l_discount) end as l_discount_min, max(l_discount) as l_discount_max, count(*) - count(l_discount) as l_discount_nulls,
+  min(l_returnflag) as l_returnflag_min, max(l_returnflag) as l_returnflag_max, count(*) - count(l_returnflag) as l_returnflag_nulls,
+  min(l_shipdate) as l_shipdate_min, max(l_shipdate) as l_shipdate_max, count(*) - count(l_shipdate) as l_shipdate_nulls
+from g group by row_group
+""")
+def row_group_stats(spark, sf_dir):
+    g = layout.assign_row_groups(_t(spark, sf_dir, "lineitem"), LINEITEM, (1000, 20_000))
+    return stats.column_stats(g, ["l_orderkey", "l_discount", "l_returnflag", "l_shipdate"], ["row_group"])
+
+
+@_query("""
+with p as (select o_orderkey, row_number() over (order by o_orderkey) - 1 as pos from orders)
+select o_orderkey, pos, (case when pos < 20 then 0 when pos < 70 then 1 else (pos - 70) // 500 + 2 end)::bigint as row_group,
+  (case when pos < 20 then pos when pos < 70 then pos - 20 else (pos - 70) % 500 end)::bigint as row_in_group from p
+""")
+def row_group_assign(spark, sf_dir):
+    return layout.assign_row_groups(_t(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], (20, 50, 500))
+
+
+@_query(f"""
+with p as (select l_partkey, row_number() over (order by {_LI}) - 1 as pos from lineitem),
+g as (select l_partkey, pos // 10000 as row_group, pos % 10000 as k from p)
+select row_group::bigint as row_group, (k // 1023)::bigint as page, min(k)::bigint as first_row, count(*) as n_values, min(l_partkey) as min_value, max(l_partkey) as max_value
+from g group by 1, 2
+""")
+def page_bounds_fixed(spark, sf_dir):
+    g = layout.assign_row_groups(_t(spark, sf_dir, "lineitem"), LINEITEM, (10_000,))
+    p = layout.fixed_pages(g, "l_partkey", 8, 8192)
+    return p.groupBy("row_group", "page").agg(F.min("row_in_group").alias("first_row"), F.count("l_partkey").alias("n_values"), F.min("l_partkey").alias("min_value"), F.max("l_partkey").alias("max_value"))
+
+
+@_query("""
+with recursive d as (
+  select row_number() over (order by doc_id) - 1 as pos, strlen(coalesce(text, '')) as n from documents),
+g as (select pos // 500 as row_group, pos % 500 as k, n from d),
+r as (
+  select row_group, k, n as b, 0::bigint as page from g where k = 0
+  union all
+  select g.row_group, g.k, case when r.b + g.n >= 100000 then g.n else r.b + g.n end, case when r.b + g.n >= 100000 then r.page + 1 else r.page end
+  from r join g on g.row_group = r.row_group and g.k = r.k + 1)
+select r.row_group::bigint as row_group, page, min(r.k)::bigint as first_row, count(*) as n_rows, sum(g.n)::bigint as n_bytes
+from r join g on r.row_group = g.row_group and r.k = g.k group by 1, 2
+""")
+def page_bounds_var(spark, sf_dir):
+    g = layout.assign_row_groups(_t(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("n")), ["doc_id"], (500,))
+    return layout.variable_pages(g, F.col("n"), 100_000)
+
+
+@_query("""
+with p as (select *, (row_number() over (order by o_orderkey) - 1) // 1000 as page from orders),
+b as (
+  select 'o_orderkey' as col, page, min(o_orderkey)::double as lo, max(o_orderkey)::double as hi from p group by page
+  union all select 'o_custkey', page, min(o_custkey), max(o_custkey) from p group by page
+  union all select 'neg_orderkey', page, min(-o_orderkey), max(-o_orderkey) from p group by page
+  union all select 'nothing', page, null, null from p group by page),
+l as (select *, lag(lo) over w as pl, lag(hi) over w as ph from b where lo is not null window w as (partition by col order by page))
+select col, case when bool_and(pl is null or (pl <= lo and ph <= hi)) then 'ASCENDING' when bool_and(pl is null or (pl >= lo and ph >= hi)) then 'DESCENDING' else 'UNORDERED' end as boundary_order
+from l group by col
+""")
+def page_index_order(spark, sf_dir):
+    p = numbered(_t(spark, sf_dir, "orders"), ["o_orderkey"]).withColumn("page", F.floor(F.col("pos") / 1000))
+    cols = {"o_orderkey": F.col("o_orderkey"), "o_custkey": F.col("o_custkey"), "neg_orderkey": -F.col("o_orderkey"), "nothing": F.lit(None)}
+    ends = p.groupBy("page").agg(*(f(c.cast("double")).alias(f"{n}_{k}") for n, c in cols.items() for k, f in (("lo", F.min), ("hi", F.max))))
+    long = ends.select("page", F.explode(F.array(*(F.struct(F.lit(n).alias("col"), F.col(f"{n}_lo").alias("lo"), F.col(f"{n}_hi").alias("hi")) for n in cols))).alias("b"))
+    return layout.boundary_order(long.select("page", "b.*"), "lo", "hi", within=["col"])
+
+
+@_query("""
+with s as (select vec_id, unnest(range(0, len(embedding))) as slot from embeddings),
+k as (select slot, row_number() over (order by vec_id, slot) - 1 as n from s),
+p as (select n // 1023 as page, sum(case when slot = 0 then 1 else 0 end) as begins, count(*) as n_values from k group by 1)
+select page, coalesce(sum(begins) over (order by page rows between unbounded preceding and 1 preceding), 0)::bigint as first_row_index, n_values from p
+""")
+def first_row_index(spark, sf_dir):
+    levels = nested.list_levels(_t(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", ["vec_id"])
+    return layout.first_rows(levels, 1023, ["vec_id", "slot"])
+
+
+@_query("""
+with g as (select (row_number() over (order by doc_id) - 1) // 200 as row_group, text from documents),
+m as (select row_group, min(text) as lo, max(text) as hi from g where text is not null group by row_group),
+h as (select row_group, hex(encode(lo)) as lo, hex(encode(hi)) as hi from m)
+select row_group::bigint as row_group, lo[1:32] as min_hex, length(lo) <= 32 as min_exact,
+  case when length(hi) <= 32 then hi else hi[1:30] || printf('%02X', ('0x' || hi[31:32])::int + 1) end as max_hex, length(hi) <= 32 as max_exact from h
+""")
+def stats_truncated(spark, sf_dir):
+    g = layout.assign_row_groups(_t(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], (200,))
+    m = g.where("text is not null").groupBy("row_group").agg(F.min("text").cast("binary").alias("lo"), F.max("text").cast("binary").alias("hi"))
+    m = m.select("row_group", stats.truncated_min(F.col("lo")).alias("lo"), stats.truncated_max(F.col("hi")).alias("hi"))
+    return m.select("row_group", F.hex("lo.bound").alias("min_hex"), F.col("lo.exact").alias("min_exact"), F.hex("hi.bound").alias("max_hex"), F.col("hi.exact").alias("max_exact"))
+
+
+@_query("""
+with v as (select event_type, case when event_id % 7 = 0 then 'nan'::double when event_id % 11 = 0 then null when event_id % 13 = 0 then 0.0 when event_id % 17 = 0 and event_type = 'click' then -value else value end as x from events)
+select event_type, count(*) as n_rows, case when min(x) filter (where not isnan(x)) = 0 then -0.0::double else min(x) filter (where not isnan(x)) end as x_min,
+  max(x) filter (where not isnan(x)) as x_max, count(*) - count(x) as x_nulls from v group by event_type
+""")
+def float_stats_nan_zero(spark, sf_dir):
+    k = F.col("event_id")
+    x = F.when(k % 7 == 0, F.lit(float("nan"))).when(k % 11 == 0, F.lit(None)).when(k % 13 == 0, 0.0).when((k % 17 == 0) & (F.col("event_type") == "click"), -F.col("value")).otherwise(F.col("value"))
+    return stats.column_stats(_t(spark, sf_dir, "events").select("event_type", x.alias("x")), ["x"], ["event_type"])
+
+
+@_query("""
+with g as (select o_orderkey, o_totalprice, (row_number() over (order by o_orderkey) - 1) // 1000 as row_group from orders),
+s as (select row_group, min(o_orderkey) as o_orderkey_min, max(o_orderkey) as o_orderkey_max, min(o_totalprice) as o_totalprice_min, max(o_totalprice) as o_totalprice_max from g group by row_group)
+select row_group::bigint as row_group, o_totalprice_min, o_totalprice_max from s where o_orderkey_min <= 4200 and o_orderkey_max >= 1900
+""")
+def stats_prune(spark, sf_dir):
+    g = layout.assign_row_groups(_t(spark, sf_dir, "orders"), ["o_orderkey"], (1000,))
+    s = stats.column_stats(g, ["o_orderkey", "o_totalprice"], ["row_group"])
+    return stats.stats_prune(s, "o_orderkey", 1900, 4200).select("row_group", "o_totalprice_min", "o_totalprice_max")
+
+
+@_query("""
+with g as (select o_custkey, (row_number() over (order by o_orderkey) - 1) // 1000 as row_group from orders)
+select distinct o_custkey as probe, row_group::bigint as row_group from g where o_custkey in (3, 30, 77, 1000000)
+""")
+def bloom_prune(spark, sf_dir):
+    g = layout.assign_row_groups(_t(spark, sf_dir, "orders"), ["o_orderkey"], (1000,))
+    return bloom.probe_groups(g, "o_custkey", [3, 30, 77, 1_000_000])
+
+
+_NDV = ["l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_shipdate"]
+
+
+@_query(" union all ".join(f"""
+select '{c}' as column, ndv, least(case when b < 1024 then pow(2, ceil(log2(b)- 1e-9))::bigint else b end, 134217728)::bigint as filter_bytes
+from (select ndv, greatest(ceil(-8.0::double * ndv / ln(1 - pow(0.01::double, 0.125::double)) / 256) * 32, 32)::bigint as b from (select count(distinct {c}) as ndv from lineitem))""" for c in _NDV))
+def bloom_size(spark, sf_dir):
+    wide = _t(spark, sf_dir, "lineitem").agg(*(F.count_distinct(c).alias(c) for c in _NDV))
+    long = wide.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("ndv")) for c in _NDV))).alias("p")).select("p.*")
+    return long.withColumn("filter_bytes", bloom.filter_bytes(F.col("ndv")))
+
+
+# Dictionaries and encodings.
+
+
+@_query(f"with s as (select * from lineitem order by {_LI} limit 1000) " + " union all ".join(
+    f"select '{c}' as column, count(*) as sampled, (count(distinct {c}) + max(({c} is null)::int))::bigint as distinct_values, count(distinct {c}) + max(({c} is null)::int) <= count(*) * 0.5 as use_dictionary from s" for c in LINEITEM))
+def dict_decision(spark, sf_dir):
+    return dictionary.dictionary_choice(_t(spark, sf_dir, "lineitem"), LINEITEM)
+
+
+@_query(f"""
+with p as (select l_returnflag || l_linestatus as v, row_number() over (order by {_LI}) as pos from lineitem),
+f as (select v, min(pos) as first_pos, count(*) as n from p group by v)
+select v as value, row_number() over (order by first_pos) - 1 as index, n from f
+""")
+def dict_build(spark, sf_dir):
+    df = _t(spark, sf_dir, "lineitem").withColumn("v", F.concat("l_returnflag", "l_linestatus"))
+    return dictionary.build_dictionary(df, "v", LINEITEM)
+
+
+@_query("""
+with f as (select p_brand, min(p_partkey) as first_key from part group by p_brand),
+d as (select p_brand, row_number() over (order by first_key) - 1 as i from f)
+select p_partkey, part.p_brand, i as p_brand_index from part join d on part.p_brand = d.p_brand
+""")
+def dict_encode(spark, sf_dir):
+    return dictionary.dictionary_encode(_t(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_brand", ["p_partkey"])
+
+
+_DELTAS = """
+with v as (select {value} as x, row_number() over (order by {key}) - 1 as pos from {table}),
+d as (select pos - 1 as k, x - lag(x) over (order by pos) as delta from v),
+m as (select k // 128 as block, k % 128 // 32 as miniblock, count(*) as n_deltas, min(delta) as lo, max(delta) as hi from d where k >= 0 group by 1, 2),
+b as (select *, min(lo) over (partition by block) as min_delta from m)
+select block::bigint as block, miniblock::bigint as miniblock, n_deltas, min_delta::bigint as min_delta, (case when hi = min_delta then 0 else length(bin((hi - min_delta)::bigint)) end)::int as bit_width from b
+"""
+
+
+@_query(_DELTAS.format(value="o_custkey", key="o_orderkey", table="orders"))
+def delta_blocks(spark, sf_dir):
+    return encodings.delta_blocks(_t(spark, sf_dir, "orders"), "o_custkey", ["o_orderkey"])
+
+
+@_query(_DELTAS.format(value="strlen(text)", key="doc_id", table="documents"))
+def delta_lengths(spark, sf_dir):
+    return encodings.delta_blocks(_t(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n")), "n", ["doc_id"])
+
+
+@_query("""
+with v as (select page_id, url, lag(url) over (order by page_id) as prev from pages),
+p as (select page_id, url, coalesce(len(list_filter(range(1, least(length(url), length(prev)) + 1), lambda k: url[1:k] = prev[1:k])), 0) as n from v)
+select page_id, n::int as prefix_length, (length(url) - n)::int as suffix_length from p
+""")
+def delta_prefixes(spark, sf_dir):
+    return encodings.delta_prefixes(_t(spark, sf_dir, "pages").select("page_id", "url"), "url", ["page_id"])
+
+
+_RUNS = """
+with v as ({source}),
+s as (select *, case when pos > 0 and x is not distinct from lag(x) over (order by pos) then 0 else 1 end as begins from v),
+r as (select *, sum(begins) over (order by pos) - 1 as run from s)
+select run::bigint as run, any_value(x) as value, count(*) as n, min(pos)::bigint as first_pos from r group by run
+"""
+
+
+@_query(_RUNS.format(source="select o_orderstatus as x, row_number() over (order by o_orderkey) - 1 as pos from orders"))
+def rle_runs(spark, sf_dir):
+    return encodings.runs(_t(spark, sf_dir, "orders"), "o_orderstatus", ["o_orderkey"])
+
+
+@_query(_RUNS.format(source="select (quality is not null)::int as x, row_number() over (order by d.doc_id) - 1 as pos from documents d left join labels l on d.doc_id = l.doc_id"))
+def level_rle(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id").join(_t(spark, sf_dir, "labels"), "doc_id", "left")
+    return encodings.runs(d.select("doc_id", F.col("quality").isNotNull().cast("int").alias("level")), "level", ["doc_id"])
+
+
+@_query(" union all ".join(f"select {k} as plane, count(distinct (o_custkey >> {8 * k}) & 255) as distinct_bytes, count(*) as n from orders" for k in range(8)))
+def byte_planes(spark, sf_dir):
+    return encodings.byte_planes(_t(spark, sf_dir, "orders"), "o_custkey")
+
+
+@_query("select l_linenumber, l_orderkey, case when l_orderkey >= 30 then 2 * (l_orderkey - 30) else -2 * (l_orderkey - 30) - 1 end as z from lineitem")
+def zigzag(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem").select("l_linenumber", "l_orderkey", encodings.zigzag(F.col("l_orderkey") - 30).alias("z"))
+
+
+# Nesting.
+
+def _listed(spark, sf_dir):
+    k = F.col("doc_id")
+    two = F.array(F.col("lang"), F.when(k % 3 == 0, F.lit(None).cast("string")).otherwise(F.col("source")))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.when(k % 5 == 0, F.lit(None)).when(k % 5 == 1, F.array().cast("array<string>")).otherwise(two).alias("v"))
+
+
+@_query("""
+with l as (select doc_id, case when doc_id % 5 = 0 then null when doc_id % 5 = 1 then [] else [lang, case when doc_id % 3 = 0 then null else source end] end as v from documents)
+select doc_id, 0 as slot, 0 as rep, case when v is null then 0 else 1 end as def, null as value from l where v is null or len(v) = 0
+union all
+select doc_id, k - 1, case when k = 1 then 0 else 1 end, case when v[k] is null then 2 else 3 end, v[k] from (select doc_id, v, unnest(range(1, len(v) + 1))::int as k from l where len(v) > 0)
+""")
+def dremel_levels(spark, sf_dir):
+    return nested.list_levels(_listed(spark, sf_dir), "v", ["doc_id"])
+
+
+@_query("""
+select doc_id, (case when doc_id % 7 = 0 then 0 when doc_id % 4 = 0 then 1 when doc_id % 3 = 0 then 2 else 3 end)::int as def from documents
+""")
+def struct_levels(spark, sf_dir):
+    k = F.col("doc_id")
+    inner = F.when(k % 4 != 0, F.struct(F.when(k % 3 != 0, F.col("lang")).alias("city")))
+    person = F.when(k % 7 != 0, F.struct(inner.alias("address")))
+    return _t(spark, sf_dir, "documents").select("doc_id", person.alias("p")).select("doc_id", nested.struct_levels(F.col("p"), ["address", "city"]).alias("def"))
+
+
+@_query("select n_regionkey, list(n_nationkey order by n_nationkey) as n_nationkey, list(n_name order by n_nationkey) as n_name from nation group by n_regionkey")
+def transpose(spark, sf_dir):
+    return nested.transposed(_t(spark, sf_dir, "nation"), ["n_nationkey", "n_name"], ["n_regionkey"], ["n_nationkey"])
+
+
+@_query("select c_custkey, c_nationkey + 1 as k, c_mktsegment from customer")
+def map_pairs(spark, sf_dir):
+    pair = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
+    m = nested.map_from_pairs(F.array(pair(F.lit("k"), F.col("c_nationkey")), pair(F.lit("k"), F.col("c_nationkey") + 1)))
+    return _t(spark, sf_dir, "customer").select("c_custkey", m["k"].alias("k"), "c_mktsegment")
+
+
+@_query("select c_name, c_custkey from customer")
+def project_subset(spark, sf_dir):
+    return frames.select_columns(_t(spark, sf_dir, "customer"), ["c_name", "c_custkey"])
+
+
+# Conversion.
+
+
+@_query("""
+select event_id, floor(epoch_us(ts) / 86400000000.0::double)::int as days, (epoch_us(ts) // 1000)::bigint as millis, epoch_us(ts) as micros, epoch_us(ts) * 1000 as nanos from events
+""")
+def epoch_units(spark, sf_dir):
+    ts = F.col("ts")
+    return _t(spark, sf_dir, "events").select("event_id", convert.epoch_days(ts).alias("days"), convert.epoch_millis(ts).alias("millis"), convert.epoch_micros(ts).alias("micros"), convert.epoch_nanos(ts).alias("nanos"))
+
+
+@_query("select o_orderkey, datediff('day', date '1970-01-01', (o_orderdate - interval 12000 days)::date)::int as days from orders")
+def to_days(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").select("o_orderkey", convert.epoch_days(F.col("o_orderdate") - F.expr("interval 12000 days")).alias("days"))
+
+
+@_query("select l_orderkey, l_linenumber, floor(l_extendedprice * 100.0::double + 0.5::double)::bigint as cents, floor(-l_discount * 10.0::double + 0.5::double)::bigint as tenths from lineitem")
+def decimal_scale(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", convert.scaled_decimal(F.col("l_extendedprice"), 2).alias("cents"), convert.scaled_decimal(-F.col("l_discount"), 1).alias("tenths"))
+
+
+@_query("select o_orderkey, (case when o_custkey * 2863311 % 4294967296 > 2147483647 then o_custkey * 2863311 % 4294967296 - 4294967296 else o_custkey * 2863311 % 4294967296 end)::int as u from orders")
+def uint32_wrap(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").select("o_orderkey", convert.uint32_bits(F.col("o_custkey") * 2863311 % 4294967296).alias("u"))
+
+
+@_query("""
+with h as (select c_custkey, md5(c_name) as h from customer)
+select c_custkey, upper(h) as raw, h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] as canonical from h
+""")
+def uuid_parse(spark, sf_dir):
+    h = F.md5("c_name")
+    dashed = F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    raw = convert.uuid_bytes(F.when(F.col("c_custkey") % 2 == 0, F.upper(dashed)).otherwise(h))
+    return _t(spark, sf_dir, "customer").select("c_custkey", raw.alias("b")).select("c_custkey", F.hex("b").alias("raw"), convert.uuid_text(F.col("b")).alias("canonical"))
+
+
+@_query("select doc_id, strlen(text)::int as n_bytes, length(text)::int as n_code_points from documents")
+def utf8_len(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", F.octet_length(convert.utf8(F.col("text"))).alias("n_bytes"), F.length("text").alias("n_code_points"))
+
+
+@_query("select r_regionkey, to_json({'key': r_regionkey, 'name': r_name})::varchar as j from region")
+def json_serialise(spark, sf_dir):
+    return _t(spark, sf_dir, "region").select("r_regionkey", F.to_json(F.struct(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name"))).alias("j"))
+
+
+# Variants.
+
+
+def _rich(spark, sf_dir):
+    """Events as JSON objects with nested, missing, null and ill-typed fields."""
+    k = F.col("event_id")
+    j = F.concat(
+        F.lit('{"id":'), k, F.lit(',"type":'), F.when(k % 10 == 0, F.lit("7")).otherwise(F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))),
+        F.when(k % 4 == 0, F.lit("")).otherwise(F.concat(F.lit(',"user":{"uid":'), F.col("user_id"), F.lit("}"))), F.when(k % 6 == 0, F.lit(',"note":null')).otherwise(F.lit("")), F.lit("}"),
+    )
+    return _t(spark, sf_dir, "events").select("event_id", j.alias("j")).withColumn("v", variant.encode(F.col("j")))
+
+
+@_query("select event_id, (props->>'$.k')::bigint as k from events")
+def variant_get_k(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", F.variant_get(variant.encode(F.col("props")), "$.k", "bigint").alias("k"))
+
+
+@_query("""
+select 'id' as key, count(*) as n from events union all select 'type', count(*) from events
+union all select 'user', count(*) filter (where event_id % 4 <> 0) from events union all select 'note', count(*) filter (where event_id % 6 = 0) from events
+""")
+def variant_keys(spark, sf_dir):
+    return variant.keys(_rich(spark, sf_dir), "v")
+
+
+@_query("select 'struct<id:bigint,user:struct<uid:bigint>>' as shape, count(*) as n from events")
+def shred_detect(spark, sf_dir):
+    rich = _rich(spark, sf_dir)
+    return rich.agg(F.count(F.lit(1)).alias("n")).select(F.lit(variant.detect_shape(rich, "v")).alias("shape"), "n")
+
+
+@_query("""
+select event_id, event_id as id, null as id_rest, case when event_id % 10 = 0 then null else event_type end as type, case when event_id % 10 = 0 then '7' end as type_rest from events
+""")
+def shred_split(spark, sf_dir):
+    return variant.split(_rich(spark, sf_dir), "v", {"id": "bigint", "type": "string"}).select("event_id", "id", "id_rest", "type", "type_rest")
+
+
+@_query("select event_id, event_id % 6 = 0 as json_null, event_id % 6 <> 0 as missing from events")
+def variant_null(spark, sf_dir):
+    note = F.try_variant_get("v", "$.note", "variant")
+    return _rich(spark, sf_dir).select("event_id", F.coalesce(F.is_variant_null(note), F.lit(False)).alias("json_null"), note.isNull().alias("missing"))
+
+
+@_query("select case when event_id % 3 = 0 then 'BIGINT' when event_id % 3 = 1 then 'STRING' else 'BOOLEAN' end as kind, count(*) as n from events group by 1")
+def infer_types(spark, sf_dir):
+    k = F.col("event_id")
+    j = F.when(k % 3 == 0, k.cast("string")).when(k % 3 == 1, F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))).otherwise(F.lit("true"))
+    return _t(spark, sf_dir, "events").groupBy(F.schema_of_variant(variant.encode(j)).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Geometries.
+
+
+def _geo(spark, sf_dir):
+    k, x, y = F.col("event_id"), F.col("value"), F.col("user_id").cast("double")
+    point = F.concat(F.lit('{"type":"Point","coordinates":['), x, F.lit(","), y, F.when(k % 3 == 0, F.concat(F.lit(","), k)).otherwise(F.lit("")), F.lit("]}"))
+    line = F.concat(F.lit('{"type":"LineString","coordinates":[['), x, F.lit(","), y, F.lit("],["), y, F.lit(","), x, F.lit("]]}"))
+    return _t(spark, sf_dir, "events").select("event_id", "event_type", "value", "user_id", F.when(k % 5 == 0, line).otherwise(point).alias("g"))
+
+
+@_query("""
+with e as (select event_type, event_id, value as x, user_id::double as y from events)
+select event_type, min(case when event_id % 5 = 0 then least(x, y) else x end) as xmin, max(case when event_id % 5 = 0 then greatest(x, y) else x end) as xmax,
+  min(case when event_id % 5 = 0 then least(x, y) else y end) as ymin, max(case when event_id % 5 = 0 then greatest(x, y) else y end) as ymax,
+  min(case when event_id % 5 <> 0 and event_id % 3 = 0 then event_id end)::double as zmin, max(case when event_id % 5 <> 0 and event_id % 3 = 0 then event_id end)::double as zmax,
+  null::double as mmin, null::double as mmax from e group by event_type
+""")
+def geo_bbox(spark, sf_dir):
+    return geo.geometry_stats(_geo(spark, sf_dir), F.col("g"), ["event_type"]).drop("codes")
+
+
+@_query("select event_type, list_sort(list(distinct case when event_id % 5 = 0 then 2 when event_id % 3 = 0 then 1001 else 1 end)) as codes from events group by event_type")
+def geo_codes(spark, sf_dir):
+    return geo.geometry_stats(_geo(spark, sf_dir), F.col("g"), ["event_type"]).select("event_type", "codes")
+
+
+@_query("select event_id, case when event_id % 5 = 0 then 41 when event_id % 3 = 0 then 29 else 21 end as n_bytes, case when event_id % 5 = 0 then '0102000000' when event_id % 3 = 0 then '01E9030000' else '0101000000' end as head from events")
+def geo_wkb(spark, sf_dir):
+    return _geo(spark, sf_dir).select("event_id", geo.geojson_wkb("g").alias("w")).select("event_id", F.length("w").alias("n_bytes"), F.hex(F.substring("w", 1, 5)).alias("head"))
+
+
+# Sources and sinks.
+
+
+@_query("select * from orders")
+def roundtrip_native(spark, sf_dir):
+    path = shared_path(spark, "native")
+    specs = [ColumnSpec("o_custkey", "INT64", bloom=True, bloom_ndv=2000, encoding="DELTA_BINARY_PACKED"), ColumnSpec("o_orderstatus", "STRING")]
+    sink.write_native(_t(spark, sf_dir, "orders"), path, specs, codec="zstd", row_groups=(5000,), page_bytes=1 << 16)
+    return spark.read.parquet(path)
+
+
+@_query("select * from lineitem")
+def roundtrip_arrow(spark, sf_dir):
+    path = shared_path(spark, "arrow")
+    specs = [ColumnSpec("l_returnflag", "STRING", encoding="DELTA_LENGTH_BYTE_ARRAY", codec="zstd"), ColumnSpec("l_orderkey", "INT64", encoding="DELTA_BINARY_PACKED")]
+    sink.write_arrow(_t(spark, sf_dir, "lineitem"), path, specs, metadata={"origin": "lineitem"})
+    return spark.read.parquet(path)
+
+
+@_query("select g::int as row_group, n::bigint as n_rows, count(*) as n_columns from (select unnest([0, 1]) as g, unnest([1000, (select count(*) from orders) - 1000]) as n), range(6) group by all")
+def footer_groups(spark, sf_dir):
+    path = shared_path(spark, "footers")
+    sink.write_arrow(_t(spark, sf_dir, "orders").coalesce(1), path)
+    return sink.footers(spark, path).groupBy("row_group", "n_rows").agg(F.count(F.lit(1)).alias("n_columns"))
+
+
+@_query("select event_id, (props->>'$.k')::bigint as k, event_type from events")
+def roundtrip_shredded(spark, sf_dir):
+    path = shared_path(spark, "variants")
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.variant.writeShredding.enabled", "spark.sql.variant.inferShreddingSchema")}
+    try:
+        for k in before:
+            spark.conf.set(k, "true")
+        _t(spark, sf_dir, "events").select("event_id", "event_type", variant.encode(F.col("props")).alias("v")).write.mode("overwrite").parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.parquet(path).select("event_id", F.variant_get("v", "$.k", "bigint").alias("k"), "event_type")
+
+
+@_query("select * from events")
+def stream_rows(spark, sf_dir):
+    source, out, marks = shared_path(spark, "stream-in"), shared_path(spark, "stream-out"), shared_path(spark, "stream-marks")
+    events = _t(spark, sf_dir, "events")
+    events.repartition(4).write.parquet(source)
+    stream_rows_.write_stream(stream_rows_.read_stream(spark, source, events.schema, files_per_batch=2), out, marks)
+    return spark.read.parquet(out)
+
+
+@_query("select r_regionkey as id, r_name as name, null::double as score from region")
+def rows_source(spark, sf_dir):
+    rows = ({"id": r.r_regionkey, "name": r.r_name, "other": 1} for r in _t(spark, sf_dir, "region").toLocalIterator())
+    return frames.from_rows(spark, rows, ["id", "name", ColumnSpec("score", "DOUBLE")])
+
+
+@_query("select * from (values (0, 'a', 1.5::double), (1, null, 2.0), (2, 'c', null)) t(i, s, x)")
+def columns_source(spark, sf_dir):
+    return frames.from_columns(spark, {"i": [0, 1, 2], "s": ["a", None, "c"], "x": [1.5, 2, None]})
+
+
+@_query("select c_custkey, c_acctbal from customer where c_acctbal >= 9000 and c_mktsegment = 'BUILDING'")
+def predicate_scan(spark, sf_dir):
+    return _t(spark, sf_dir, "customer").where((F.col("c_acctbal") >= 9000) & (F.col("c_mktsegment") == "BUILDING")).select("c_custkey", "c_acctbal")

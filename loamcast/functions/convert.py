@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 _UUID = "^[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}$"
@@ -55,7 +55,7 @@ def utf8(text: Column) -> Column:
     return F.encode(text, "UTF-8")
 
 
-@pandas_udf("binary")
+@pandas_udf(T.BinaryType())
 def half_bytes(v: pd.Series) -> pd.Series:
     """IEEE half-precision bytes, little-endian, rounded half to even."""
     with np.errstate(over="ignore"):
@@ -63,7 +63,7 @@ def half_bytes(v: pd.Series) -> pd.Series:
     return pd.Series([None if n else x.tobytes() for x, n in zip(raw, v.isna(), strict=True)])
 
 
-@pandas_udf("binary")
+@pandas_udf(T.BinaryType())
 def twos_complement(v: pd.Series) -> pd.Series:
     """Least big-endian two's-complement bytes of whole numbers; one zero byte for zero."""
 

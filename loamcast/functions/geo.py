@@ -7,10 +7,12 @@ import math
 import struct
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 _CODES = {"Point": 1, "LineString": 2, "Polygon": 3, "MultiPoint": 4, "MultiLineString": 5, "MultiPolygon": 6, "GeometryCollection": 7}
+_AXES = ("xmin", "xmax", "ymin", "ymax", "zmin", "zmax", "mmin", "mmax")
+_EXTENT = T.StructType([*(T.StructField(a, T.DoubleType()) for a in _AXES), T.StructField("codes", T.ArrayType(T.IntegerType()))])
 _PART = {"MultiPoint": "Point", "MultiLineString": "LineString", "MultiPolygon": "Polygon"}
 
 
@@ -60,12 +62,12 @@ def wkb(g: dict) -> bytes:
     return head + struct.pack("<I", len(c)) + b"".join(wkb({"type": _PART[kind], "coordinates": x}) for x in c)
 
 
-@pandas_udf("binary")
+@pandas_udf(T.BinaryType())
 def geojson_wkb(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else wkb(json.loads(t)))
 
 
-@pandas_udf("xmin double, xmax double, ymin double, ymax double, zmin double, zmax double, mmin double, mmax double, codes array<int>")
+@pandas_udf(_EXTENT)
 def geojson_extent(text: pd.Series) -> pd.DataFrame:
     """Bounds per axis (non-finite coordinates are passed over) and type codes of one geometry."""
     rows = []
@@ -80,12 +82,12 @@ def geojson_extent(text: pd.Series) -> pd.DataFrame:
                         axis[0] = v if axis[0] is None else min(axis[0], v)
                         axis[1] = v if axis[1] is None else max(axis[1], v)
         rows.append([*(None if v is None else float(v) for axis in ends for v in axis), codes])
-    return pd.DataFrame(rows, columns=["xmin", "xmax", "ymin", "ymax", "zmin", "zmax", "mmin", "mmax", "codes"])
+    return pd.DataFrame(rows, columns=[*_AXES, "codes"])
 
 
 def geometry_stats(df: DataFrame, geojson: Column, by: list[str]) -> DataFrame:
     """Bounding box and sorted type codes of each group of geometries; no box without x and y."""
     x = df.select(*by, geojson_extent(geojson).alias("g")).select(*by, "g.*")
-    aggs = [(F.min if a.endswith("min") else F.max)(a).alias(a) for a in ("xmin", "xmax", "ymin", "ymax", "zmin", "zmax", "mmin", "mmax")]
+    aggs = [(F.min if a.endswith("min") else F.max)(a).alias(a) for a in _AXES]
     codes = F.array_sort(F.array_distinct(F.flatten(F.collect_set("codes")))).alias("codes")
     return x.groupBy(*by).agg(*aggs, codes)

@@ -71,4 +71,4 @@ def transposed(df: DataFrame, columns: list[str], by: list[str], order_by: list[
     """One row per group with an array per column, all in one order; a group is a bounded row group."""
     rows = F.array_sort(F.collect_list(F.struct(*order_by, *(F.col(c).alias(f"__{c}") for c in columns))))
     out = df.groupBy(*by).agg(rows.alias("r"))
-    return out.select(*by, *(F.transform("r", lambda x, c=c: x[f"__{c}"]).alias(c) for c in columns))
+    return out.select(*by, *(F.col("r").getField(f"__{c}").alias(c) for c in columns))
