@@ -167,11 +167,11 @@ _NDV = ["l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_shipdate"]
 
 
 @_query(" union all ".join(f"""
-select '{c}' as column, ndv, least(case when b < 1024 then pow(2, ceil(log2(b)- 1e-9))::bigint else b end, 134217728)::bigint as filter_bytes
+select '{c}' as col_name, ndv, least(case when b < 1024 then pow(2, ceil(log2(b)- 1e-9))::bigint else b end, 134217728)::bigint as filter_bytes
 from (select ndv, greatest(ceil(-8.0::double * ndv / ln(1 - pow(0.01::double, 0.125::double)) / 256) * 32, 32)::bigint as b from (select count(distinct {c}) as ndv from lineitem))""" for c in _NDV))
 def bloom_size(spark, sf_dir):
     wide = _t(spark, sf_dir, "lineitem").agg(*(F.count_distinct(c).alias(c) for c in _NDV))
-    long = wide.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("ndv")) for c in _NDV))).alias("p")).select("p.*")
+    long = wide.select(F.explode(F.array(*(F.struct(F.lit(c).alias("col_name"), F.col(c).alias("ndv")) for c in _NDV))).alias("p")).select("p.*")
     return long.withColumn("filter_bytes", bloom.filter_bytes(F.col("ndv")))
 
 
@@ -179,9 +179,9 @@ def bloom_size(spark, sf_dir):
 
 
 @_query(f"with s as (select * from lineitem order by {_LI} limit 1000) " + " union all ".join(
-    f"select '{c}' as column, count(*) as sampled, (count(distinct {c}) + max(({c} is null)::int))::bigint as distinct_values, count(distinct {c}) + max(({c} is null)::int) <= count(*) * 0.5 as use_dictionary from s" for c in LINEITEM))
+    f"select '{c}' as col_name, count(*) as sampled, (count(distinct {c}) + max(({c} is null)::int))::bigint as distinct_values, count(distinct {c}) + max(({c} is null)::int) <= count(*) * 0.5 as use_dictionary from s" for c in LINEITEM))
 def dict_decision(spark, sf_dir):
-    return dictionary.dictionary_choice(_t(spark, sf_dir, "lineitem"), LINEITEM)
+    return dictionary.dictionary_choice(_t(spark, sf_dir, "lineitem"), LINEITEM).withColumnRenamed("column", "col_name")
 
 
 @_query(f"""
