@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from loamcast.llm.common import texts_of
 
 #: Pieces and transitions remembered by a worker at most; beyond, the memory starts anew.
-CACHE, TRANSITIONS = 400_000, 800_000
+CACHE, TRANSITIONS = 250_000, 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -42,6 +43,8 @@ class Transducer:
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
+        self.bits = max(ranks.values(), default=0).bit_length()
+        self.low = (1 << self.bits) - 1
         self.compatible = functools.lru_cache(1 << 18)(self._compatible)
         kids: list[dict[int, int]] = [{}]
         token: list[int] = [-1]
@@ -108,30 +111,32 @@ class Transducer:
                 j -= 1
 
     def _reset(self) -> None:
-        # A state: the token closed last, and the open paths (trie node, token before it).
-        self.states: list[tuple] = [(-1, ())]
+        # Flat: the token closed last, then node and token before it of each path.
+        self.states: list[tuple] = [(-1,)]
         self.number: dict[tuple, int] = {self.states[0]: 0}
-        self.moves: dict[int, tuple[int, int]] = {}
+        #: (state, byte) to the next state and the token that closes, each packed in one number.
+        self.moves: dict[int, int] = {}
 
-    def _move(self, state: int, byte: int) -> tuple[int, int]:
+    def _move(self, state: int, byte: int) -> int:
         """The state after a byte, and the token that ends the encoding of the prefix up to it."""
         kids, token = self.kids, self.token
-        closed, last, paths = -1, *self.states[state]
-        out = []
-        for node, before in (*paths, (0, last)):
+        last, *paths = self.states[state]
+        closed, out = -1, [-1]
+        for node, before in (*zip(paths[::2], paths[1::2], strict=True), (0, last)):
             if (to := kids[node].get(byte)) is None:
                 continue
             if closed < 0 and (t := token[to]) >= 0 and (before < 0 or self.compatible(before, t)):
                 closed = t
             if kids[to]:
-                out.append((to, before))
+                out += (to, before)
         if closed < 0:
             raise ValueError("a byte without a token of its own")
-        key = closed, tuple(out)
+        out[0] = closed
+        key = tuple(out)
         if (n := self.number.get(key)) is None:
             n = self.number[key] = len(self.states)
             self.states.append(key)
-        return n, closed
+        return n << self.bits | closed
 
     def stream(self, piece: bytes):
         """Yield the ids of a piece in runs, each as soon as all open paths agree on it."""
@@ -140,14 +145,14 @@ class Transducer:
             return
         if len(self.moves) > TRANSITIONS:
             self._reset()
-        state, moves, of, step = 0, self.moves, self.bytes_of, 8 * self.longest
+        state, moves, of, step, bits, low = 0, self.moves, self.bytes_of, 8 * self.longest, self.bits, self.low
         ends: list[int] = []  # for each byte since `begun`, the last token of the prefix up to it
         for at in range(0, len(piece), step):
             for b in piece[at : at + step]:
                 if (m := moves.get(state << 8 | b)) is None:
                     m = moves[state << 8 | b] = self._move(state, b)
-                state = m[0]
-                ends.append(m[1])
+                state = m >> bits
+                ends.append(m & low)
             if at + step >= len(piece):
                 break
             # Open paths began within the longest token's reach; what leads to all these places is settled.
@@ -180,12 +185,12 @@ class Transducer:
             return [whole]
         if len(self.moves) > TRANSITIONS:
             self._reset()
-        state, moves, of, ends, out = 0, self.moves, self.bytes_of, [], []
+        state, moves, of, ends, out, bits, low = 0, self.moves, self.bytes_of, [], [], self.bits, self.low
         for b in piece:
             if (m := moves.get(state << 8 | b)) is None:
                 m = moves[state << 8 | b] = self._move(state, b)
-            state = m[0]
-            ends.append(m[1])
+            state = m >> bits
+            ends.append(m & low)
         k = len(ends)
         while k > 0:
             out.append(t := ends[k - 1])
@@ -272,20 +277,21 @@ class Tokenizer:
         self.machine = Transducer(self.ranks)
         self.decoder = Decoder(self.ranks)
         self.pieces = regex.compile(pattern).findall
-        self.seen: dict[str, list[int]] = {}
+        self.seen: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> list[int]:
-        seen, out = self.seen, []
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a text, as unsigned 32-bit integers."""
+        seen, out = self.seen, bytearray()
         for piece in self.pieces(text):
             ids = seen.get(piece)
             if ids is None:
                 if len(seen) >= CACHE:
                     seen.clear()
-                ids = self.machine.encode(piece.encode("utf-8"))
+                ids = array("I", self.machine.encode(piece.encode("utf-8"))).tobytes()
                 if len(piece) <= 64:
                     seen[piece] = ids
             out += ids
-        return out
+        return np.frombuffer(bytes(out), np.uint32)
 
 
 @functools.lru_cache(2)
@@ -301,7 +307,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     def run(batches):
         t = tokenizer(ranks_path, pattern)
         for b in batches:
-            ids = [np.array(t.encode(x.decode("utf-8", "replace")), np.int32) for x in texts_of(b.column(1))]
+            ids = [t.encode(x.decode("utf-8", "replace")).astype(np.int32) for x in texts_of(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), _lists(ids)], names=schema.names)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
@@ -338,7 +344,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
         for b in batches:
             rows = []
             for x in texts_of(b.column(1)):
-                ids = np.array(t.encode(x.decode("utf-8", "replace")), "<u4")
+                ids = t.encode(x.decode("utf-8", "replace")).astype("<u4", copy=False)
                 h, state = hashlib.sha256(), 0
                 for at in range(0, len(ids), 1 << 16):
                     data, state = t.decoder.step(state, ids[at : at + (1 << 16)])
