@@ -23,7 +23,7 @@ from array import array
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, types as T
 
 from loamcast.llm.common import texts_of
 
@@ -302,7 +302,7 @@ def tokenizer(ranks_path: str, pattern: str) -> Tokenizer:
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, ids array<int>) for every row; null and empty texts have no ids."""
-    schema = docs.select(id_col).schema.add("ids", "array<int>")
+    schema = docs.select(id_col).schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches):
         t = tokenizer(ranks_path, pattern)

@@ -6,7 +6,7 @@ other words (told apart by their last bytes) gives a word its share of the class
 count. Probabilities of all known words and one unknown word per class sum to one.
 
 Counts come from all training texts. The network starts from WARM documents (least hash first), then
-goes over all training texts once, in ROUNDS: every task trains a copy by truncated backpropagation
+goes over all training texts once, in ROUNDS parts: every task trains a copy by truncated backpropagation
 and the copies are averaged by their tokens. State is carried across windows from a document's first
 word to its end, in training and in scoring; windows only cut the gradient.
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections import Counter
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -31,10 +32,13 @@ FREQUENT, PER, OTHER, HIDDEN = 2048, 64, 32, 24
 #: Words (of LONGEST bytes at most) whose counts every worker holds.
 KEEP, LONGEST = 131_072, 256
 #: Documents of the start, and passes' parts over the training texts that are averaged.
-WARM, ROUNDS = 512, 2
+WARM, ROUNDS = 2048, 1
 #: Steps of a backpropagation window, lanes read side by side, tokens laid out at once.
-STEPS, LANES, POOL = 16, 512, 6_000_000
-RATE = 0.02
+STEPS, LANES, POOL = 32, 512, 6_000_000
+#: Texts of more bytes are read by tasks of their own, each for so many input partitions: a lane is as
+#: long as its longest document, so short ones would wait for them.
+LONG, TOGETHER = 16_384, 4
+RATE = 0.04
 END = b"\n"
 
 
@@ -89,116 +93,154 @@ class Net:
         size = sum(int(np.prod(s)) for s in shapes.values())
         if flat is None:
             flat = np.random.default_rng(7).normal(0, 0.08, size)
-        self.flat, at = flat.astype(np.float32), 0
+        self.flat, at = flat.astype(np.float32), 0  # a copy
         for name, shape in shapes.items():
             n = int(np.prod(shape))
             setattr(self, name, self.flat[at : at + n].reshape(shape))
             at += n
-        self.m, self.v, self.t = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
-
-    def forward(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: list | None = None):
-        """States (steps, lanes, hidden) after inputs x; fresh marks where a document begins."""
-        n, out = HIDDEN, np.empty((*x.shape, HIDDEN), np.float32)
-        inputs = self.E[x]
-        for t in range(len(x)):
-            if fresh[t].any():
-                h = h * ~fresh[t][:, None]
-            u = h @ self.U
+        self.m = self.v = self.grads = None  # made when training begins
+        self.t = 0
+
+    def forward(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False):
+        """States (steps, lanes, hidden) after inputs x, the last state, and what the backward pass needs.
+
+        fresh marks where a document begins.
+        """
+        n, (steps, lanes) = HIDDEN, x.shape
+        states = np.empty((steps + 1, lanes, n), np.float32)
+        states[0] = h
+        inputs, begins = self.E[x], fresh.any(axis=1)
+        kept = tuple(np.empty((steps, lanes, n), np.float32) for _ in range(5)) if keep else None
+        for t in range(steps):
+            before = states[t]
+            if begins[t]:  # a copy: the state that ended the document before is still scored
+                before = before * ~fresh[t][:, None]
+            u = before @ self.U
             gates = inputs[t, :, : 2 * n] + u[:, : 2 * n]
             gates *= 0.5
             np.tanh(gates, out=gates)
             gates += 1
             gates *= 0.5
-            z, r = gates[:, :n], gates[:, n:]
-            new = np.tanh(inputs[t, :, 2 * n :] + r * u[:, 2 * n :])
-            if keep is not None:
-                keep.append((h, z, r, u[:, 2 * n :], new))
-            h = new + z * (h - new)
-            out[t] = h
-        return out, h
+            new = gates[:, n:] * u[:, 2 * n :]
+            new += inputs[t, :, 2 * n :]
+            np.tanh(new, out=new)
+            if keep:
+                kept[0][t], kept[1][t], kept[2][t], kept[3][t], kept[4][t] = before, gates[:, :n], gates[:, n:], u[:, 2 * n :], new
+            after = states[t + 1]
+            np.subtract(before, new, out=after)
+            after *= gates[:, :n]
+            after += new
+        return states, states[-1].copy(), kept
 
     def output(self, hs: np.ndarray, y: np.ndarray, grads=None):
         """Natural log probabilities of targets y (class part, and word part of frequent words).
 
         y is a frequent word's number, or FREQUENT + class. With grads, also the states' gradient.
         """
+        # Classes lie along the first axis, so that sums over them run along memory.
         head = FREQUENT // PER
-        logits = hs @ self.C
-        logits += self.c
-        logits -= logits.max(axis=1, keepdims=True)
-        cls = np.where(y < FREQUENT, y // PER, y - FREQUENT + head)
+        cls = np.where(y < FREQUENT, y // PER, y - FREQUENT + head).astype(np.int16)
+        # Targets sorted by class, so that a class's columns are a slice.
+        order = np.argsort(cls, kind="stable")
+        cls, y, hs = cls[order], y[order], hs[order]
+        ends = np.searchsorted(cls, np.arange(head + 1)).tolist()
+        logits = self.C.T @ hs.T
+        logits += self.c[:, None]
+        logits -= logits.max(axis=0)
         rows = np.arange(len(y))
-        target = logits[rows, cls]
+        target = logits[cls, rows]
         np.exp(logits, out=logits)
-        total = logits.sum(axis=1)
+        total = logits.sum(axis=0)
         lp = target - np.log(total)
         dh = None
         if grads is not None:
-            logits /= total[:, None]
-            logits[rows, cls] -= 1
-            grads.C += hs.T @ logits
-            grads.c += logits.sum(axis=0)
-            dh = logits @ self.C.T
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(head + 1))
+            logits /= total
+            logits[cls, rows] -= 1
+            grads.C += hs.T @ logits.T
+            grads.c += logits.sum(axis=1)
+            dh = logits.T @ self.C.T
         for k in range(head):
-            at = order[ends[k] : ends[k + 1]]
-            if not len(at):
+            at, w = slice(ends[k], ends[k + 1]), self.W[k * PER : (k + 1) * PER]
+            if ends[k] == ends[k + 1]:
                 continue
-            part, w = hs[at], self.W[k * PER : (k + 1) * PER]
-            s = part @ w.T
-            s += self.w[k * PER : (k + 1) * PER]
-            s -= s.max(axis=1, keepdims=True)
-            inner, i = y[at] - k * PER, np.arange(len(at))
-            hit = s[i, inner]
+            s = w @ hs[at].T
+            s += self.w[k * PER : (k + 1) * PER, None]
+            s -= s.max(axis=0)
+            inner, i = y[at] - k * PER, rows[: ends[k + 1] - ends[k]]
+            hit = s[inner, i]
             np.exp(s, out=s)
-            sums = s.sum(axis=1)
+            sums = s.sum(axis=0)
             lp[at] += hit - np.log(sums)
             if grads is not None:
-                s /= sums[:, None]
-                s[i, inner] -= 1
-                grads.W[k * PER : (k + 1) * PER] += s.T @ part
-                grads.w[k * PER : (k + 1) * PER] += s.sum(axis=0)
-                dh[at] += s @ w
+                s /= sums
+                s[inner, i] -= 1
+                grads.W[k * PER : (k + 1) * PER] += s @ hs[at]
+                grads.w[k * PER : (k + 1) * PER] += s.sum(axis=1)
+                dh[at] += s.T @ w
+        sorted_lp, lp = lp, np.empty_like(lp)
+        lp[order] = sorted_lp
+        if dh is not None:
+            sorted_dh, dh = dh, np.empty_like(dh)
+            dh[order] = sorted_dh
         return lp, dh
 
     def train_window(self, x, y, live, fresh, h, rate):
         """One step of gradient descent on a window; returns the state after it."""
-        keep: list = []
-        hs, h_end = self.forward(x, fresh, h, keep)
-        g = Net(np.zeros_like(self.flat))
-        steps, lanes = x.shape
-        on = np.flatnonzero(live.ravel())
-        dh_out = np.zeros((steps * lanes, HIDDEN), np.float32)
-        _, dh = self.output(hs.reshape(-1, HIDDEN)[on], y.ravel()[on], g)
-        dh_out[on] = dh
-        dh_out = dh_out.reshape(steps, lanes, HIDDEN)
-        dx, carry, n = np.empty((steps, lanes, 3 * HIDDEN), np.float32), np.zeros((lanes, HIDDEN), np.float32), HIDDEN
+        states, h_end, (before, z, r, un, new) = self.forward(x, fresh, h, True)
+        if self.grads is None:
+            self.m, self.v, self.grads, self.scratch = np.zeros_like(self.flat), np.zeros_like(self.flat), Net(self.flat), np.empty_like(self.flat)
+        g, n, (steps, lanes) = self.grads, HIDDEN, x.shape
+        g.flat[:] = 0
+        # Input t is the token before target t, which the state after it predicts.
+        hs, targets, on = states[1:].reshape(-1, n), np.ascontiguousarray(y).ravel(), np.flatnonzero(live.ravel())
+        if len(on) == len(targets):
+            dh_out = self.output(hs, targets, g)[1]
+        else:
+            dh_out = np.zeros((steps * lanes, n), np.float32)
+            dh_out[on] = self.output(hs[on], targets[on], g)[1]
+        dh_out = dh_out.reshape(steps, lanes, n)
+        rest = 1 - z
+        to_z = before - new
+        to_z *= z
+        to_z *= rest
+        to_new = new * new
+        np.subtract(1, to_new, out=to_new)
+        to_new *= rest
+        to_r = 1 - r
+        to_r *= r
+        to_r *= un
+        du, dn_all, carry = np.empty((steps, lanes, 3 * n), np.float32), np.empty((steps, lanes, n), np.float32), np.zeros((lanes, n), np.float32)
+        back, begins = np.ascontiguousarray(self.U.T), fresh.any(axis=1)
         for t in range(steps - 1, -1, -1):
-            before, z, r, un, new = keep[t]
-            d = dh_out[t] + carry
-            dn = d * (1 - z) * (1 - new * new)
-            du = np.empty((lanes, 3 * n), np.float32)
-            du[:, :n] = d * (before - new) * z * (1 - z)
-            du[:, n : 2 * n] = dn * un * r * (1 - r)
-            dx[t, :, : 2 * n] = du[:, : 2 * n]
-            dx[t, :, 2 * n :] = dn
-            du[:, 2 * n :] = dn * r
-            g.U += before.T @ du
-            carry = d * z + du @ self.U.T
-            if fresh[t].any():
-                carry *= ~fresh[t][:, None]
-        ids = x.ravel()
-        order = np.argsort(ids, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) != 0]))
-        g.E[ids[order][first]] += np.add.reduceat(dx.reshape(-1, 3 * n)[order], first, axis=0)
-        grad = g.flat
-        grad /= max(1, len(on))
-        grad *= min(1.0, 1.0 / (float(np.sqrt(grad @ grad)) + 1e-9))
+            carry += dh_out[t]
+            dn, d = dn_all[t], du[t]
+            np.multiply(carry, to_new[t], out=dn)
+            np.multiply(carry, to_z[t], out=d[:, :n])
+            np.multiply(dn, to_r[t], out=d[:, n : 2 * n])
+            np.multiply(dn, r[t], out=d[:, 2 * n :])
+            carry *= z[t]
+            carry += d @ back
+            if begins[t]:
+                carry[fresh[t]] = 0
+        flat = du.reshape(-1, 3 * n)
+        g.U += before.reshape(-1, n).T @ flat
+        flat[:, 2 * n :] = dn_all.reshape(-1, n)
+        ids, columns = np.ascontiguousarray(x).ravel(), flat.T.astype(np.float64)
+        for k in range(3 * n):
+            g.E[:, k] = np.bincount(ids, columns[k], len(g.E))
+        grad, scratch = g.flat, self.scratch
+        grad *= min(1.0 / max(1, len(on)), 1.0 / (float(np.sqrt(grad @ grad)) + 1e-9))
         self.t += 1
-        self.m += 0.1 * (grad - self.m)
-        self.v += 0.01 * (grad * grad - self.v)
-        self.flat -= rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t) * self.m / (np.sqrt(self.v) + 1e-7)
+        self.m *= 0.9
+        self.m += np.multiply(grad, np.float32(0.1), out=scratch)
+        self.v *= 0.99
+        np.multiply(grad, grad, out=scratch)
+        self.v += np.multiply(scratch, np.float32(0.01), out=scratch)
+        np.sqrt(self.v, out=scratch)
+        scratch += 1e-7
+        np.divide(self.m, scratch, out=scratch)
+        scratch *= np.float32(rate * float(np.sqrt(1 - 0.99**self.t)) / (1 - 0.9**self.t))
+        self.flat -= scratch
         return h_end
 
 
@@ -256,8 +298,8 @@ def score_docs(net: Net, docs: list[np.ndarray]) -> np.ndarray:
     h, out = np.zeros((x.shape[1], HIDDEN), np.float32), np.zeros(x.shape, np.float32)
     for a, b in _windows(len(x)):
         n = int(widths[a])
-        hs, h[:n] = net.forward(x[a:b, :n], fresh[a:b, :n], h[:n])
-        lp, _ = net.output(hs.reshape(-1, HIDDEN), np.ascontiguousarray(y[a:b, :n]).ravel())
+        states, h[:n], _ = net.forward(x[a:b, :n], fresh[a:b, :n], h[:n])
+        lp, _ = net.output(states[1:].reshape(-1, HIDDEN), np.ascontiguousarray(y[a:b, :n]).ravel())
         out[a:b, :n] = lp.reshape(b - a, n)
     lanes = np.ascontiguousarray(out.T)
     return np.array([lanes[k, at : at + len(d)].sum(dtype=np.float64) for d, (k, at) in zip(docs, where, strict=True)]) / np.log(10)
@@ -265,8 +307,14 @@ def score_docs(net: Net, docs: list[np.ndarray]) -> np.ndarray:
 
 def numbers(words: list[bytes], voc: Vocabulary) -> np.ndarray:
     """Dictionary numbers of words, -1 for the rest."""
-    get = voc.words.get
-    return np.fromiter((get(w, -1) for w in words), np.int32, len(words))
+    return np.fromiter(map(voc.words.get, words, repeat(-1)), np.int32, len(words))
+
+
+def by_length(rows: DataFrame, text_col: str = "text") -> DataFrame:
+    """The same rows, long texts in partitions of their own."""
+    long = F.coalesce(F.octet_length(text_col), F.lit(0)) > LONG
+    apart = rows.where(long)
+    return rows.where(~long).union(apart.coalesce(max(1, apart.rdd.getNumPartitions() // TOGETHER)))
 
 
 class _Coder:
@@ -284,8 +332,9 @@ class _Coder:
         """(dictionary numbers, network ids)"""
         n = numbers(words, self.voc)
         ids = self.ids[n]
-        for k in np.flatnonzero(n < 0).tolist():
-            ids[k] = FREQUENT + other_class(words[k])
+        rest = np.flatnonzero(n < 0)
+        if len(rest):
+            ids[rest] = [FREQUENT + other_class(words[k]) for k in rest.tolist()]
         return n, ids
 
 
@@ -366,7 +415,7 @@ def learn(training: DataFrame, voc, id_col: str = "doc_id", text_col: str = "tex
     flat = _averaged(warm, start(voc.value), voc, RATE)
     for r in range(rounds):
         part = training.where(F.pmod(draw, F.lit(rounds)) == r).select(text_col)
-        flat = _averaged(part, flat, voc, RATE / (2 + r))
+        flat = _averaged(by_length(part, text_col), flat, voc, RATE / (2 + r))
     return flat
 
 
@@ -419,7 +468,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         if pending:
             yield flush(pending)
 
-    scored = stage(rows.mapInArrow(run, schema), "lm-scores")
+    scored = stage(by_length(rows).mapInArrow(run, schema), "lm-scores")
     words = scored.where(F.length("rare") > 0).select("row", F.explode(F.split(F.col("rare").cast("string"), " ")).alias("word"))
     found = words.join(counts.select(F.col("word").cast("string").alias("word"), "c"), "word", "left")
     sums = found.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("logs"), F.count("c").alias("n_rare"))
