@@ -35,6 +35,8 @@ KEEP, LONGEST = 131_072, 256
 WARM, ROUNDS = 2048, 1
 #: Steps of a backpropagation window, lanes read side by side, tokens laid out at once.
 STEPS, LANES, POOL = 32, 512, 6_000_000
+#: Tokens whose class logits are worked out at once.
+BLOCK = 2048
 #: Texts of more bytes are read by tasks of their own, each for so many input partitions: a lane is as
 #: long as its longest document, so short ones would wait for them.
 LONG, TOGETHER = 16_384, 4
@@ -99,7 +101,14 @@ class Net:
             setattr(self, name, self.flat[at : at + n].reshape(shape))
             at += n
         self.m = self.v = self.grads = None  # made when training begins
-        self.t = 0
+        self.t, self.space = 0, {}
+
+    def buffer(self, name: str, *shape: int) -> np.ndarray:
+        """Memory that is used again: what a window fills is read before the next one begins."""
+        size = int(np.prod(shape))
+        if name not in self.space or len(self.space[name]) < size:
+            self.space[name] = np.empty(size, np.float32)
+        return self.space[name][:size].reshape(shape)
 
     def forward(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False):
         """States (steps, lanes, hidden) after inputs x, the last state, and what the backward pass needs.
@@ -107,10 +116,11 @@ class Net:
         fresh marks where a document begins.
         """
         n, (steps, lanes) = HIDDEN, x.shape
-        states = np.empty((steps + 1, lanes, n), np.float32)
+        states = self.buffer("states", steps + 1, lanes, n)
         states[0] = h
-        inputs, begins = self.E[x], fresh.any(axis=1)
-        kept = tuple(np.empty((steps, lanes, n), np.float32) for _ in range(5)) if keep else None
+        inputs = np.take(self.E, x, axis=0, out=self.buffer("inputs", steps, lanes, 3 * n), mode="clip")
+        begins = fresh.any(axis=1)
+        kept = tuple(self.buffer(f"kept{k}", steps, lanes, n) for k in range(5)) if keep else None
         for t in range(steps):
             before = states[t]
             if begins[t]:  # a copy: the state that ended the document before is still scored
@@ -144,21 +154,24 @@ class Net:
         order = np.argsort(cls, kind="stable")
         cls, y, hs = cls[order], y[order], hs[order]
         ends = np.searchsorted(cls, np.arange(head + 1)).tolist()
-        logits = self.C.T @ hs.T
-        logits += self.c[:, None]
-        logits -= logits.max(axis=0)
+        lp, dh = np.empty(len(y), np.float32), None if grads is None else np.empty((len(y), HIDDEN), np.float32)
+        for a in range(0, len(y), BLOCK):  # few enough at once that their logits stay in the cache
+            at = slice(a, a + BLOCK)
+            logits = self.C.T @ hs[at].T
+            logits += self.c[:, None]
+            logits -= logits.max(axis=0)
+            rows, wanted = np.arange(logits.shape[1]), cls[at]
+            target = logits[wanted, rows]
+            np.exp(logits, out=logits)
+            total = logits.sum(axis=0)
+            lp[at] = target - np.log(total)
+            if grads is not None:
+                logits /= total
+                logits[wanted, rows] -= 1
+                grads.C += hs[at].T @ logits.T
+                grads.c += logits.sum(axis=1)
+                np.matmul(logits.T, self.C.T, out=dh[at])
         rows = np.arange(len(y))
-        target = logits[cls, rows]
-        np.exp(logits, out=logits)
-        total = logits.sum(axis=0)
-        lp = target - np.log(total)
-        dh = None
-        if grads is not None:
-            logits /= total
-            logits[cls, rows] -= 1
-            grads.C += hs.T @ logits.T
-            grads.c += logits.sum(axis=1)
-            dh = logits.T @ self.C.T
         for k in range(head):
             at, w = slice(ends[k], ends[k + 1]), self.W[k * PER : (k + 1) * PER]
             if ends[k] == ends[k + 1]:
@@ -199,25 +212,25 @@ class Net:
             dh_out = np.zeros((steps * lanes, n), np.float32)
             dh_out[on] = self.output(hs[on], targets[on], g)[1]
         dh_out = dh_out.reshape(steps, lanes, n)
-        rest = 1 - z
-        to_z = before - new
-        to_z *= z
-        to_z *= rest
-        to_new = new * new
-        np.subtract(1, to_new, out=to_new)
-        to_new *= rest
-        to_r = 1 - r
-        to_r *= r
-        to_r *= un
-        du, dn_all, carry = np.empty((steps, lanes, 3 * n), np.float32), np.empty((steps, lanes, n), np.float32), np.zeros((lanes, n), np.float32)
+        du, dn_all, carry = self.buffer("du", steps, lanes, 3 * n), self.buffer("dn", steps, lanes, n), np.zeros((lanes, n), np.float32)
         back, begins = np.ascontiguousarray(self.U.T), fresh.any(axis=1)
+        rest, part = np.empty_like(carry), np.empty_like(carry)
         for t in range(steps - 1, -1, -1):
             carry += dh_out[t]
             dn, d = dn_all[t], du[t]
-            np.multiply(carry, to_new[t], out=dn)
-            np.multiply(carry, to_z[t], out=d[:, :n])
-            np.multiply(dn, to_r[t], out=d[:, n : 2 * n])
+            np.subtract(1, z[t], out=rest)
+            np.subtract(before[t], new[t], out=part)
+            part *= z[t]
+            part *= rest
+            np.multiply(carry, part, out=d[:, :n])
+            np.multiply(new[t], new[t], out=part)
+            np.subtract(1, part, out=part)
+            part *= rest
+            np.multiply(carry, part, out=dn)
             np.multiply(dn, r[t], out=d[:, 2 * n :])
+            np.subtract(1, r[t], out=part)
+            part *= un[t]
+            np.multiply(d[:, 2 * n :], part, out=d[:, n : 2 * n])
             carry *= z[t]
             carry += d @ back
             if begins[t]:
@@ -225,9 +238,11 @@ class Net:
         flat = du.reshape(-1, 3 * n)
         g.U += before.reshape(-1, n).T @ flat
         flat[:, 2 * n :] = dn_all.reshape(-1, n)
-        ids, columns = np.ascontiguousarray(x).ravel(), flat.T.astype(np.float64)
-        for k in range(3 * n):
-            g.E[:, k] = np.bincount(ids, columns[k], len(g.E))
+        ids = np.ascontiguousarray(x).ravel()
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        head = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        g.E[ids[head]] = np.add.reduceat(flat[order], head, axis=0)
         grad, scratch = g.flat, self.scratch
         grad *= min(1.0 / max(1, len(on)), 1.0 / (float(np.sqrt(grad @ grad)) + 1e-9))
         self.t += 1
@@ -410,11 +425,14 @@ def _averaged(texts: DataFrame, flat: np.ndarray, voc, rate: float) -> np.ndarra
 
 def learn(training: DataFrame, voc, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> np.ndarray:
     """The network's parameters after the start and all rounds."""
-    draw = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    warm = training.orderBy(draw, text_col).limit(WARM).select(text_col).coalesce(1)
+    draw = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.monotonically_increasing_id())
+    drawn = training.withColumn("draw", draw)
+    # About twice WARM rows pass the filter, so the one task that orders them holds no more.
+    few = drawn.where(F.pmod("draw", F.lit(max(1, training.count()))) < 2 * WARM)
+    warm = few.orderBy("draw", text_col).limit(WARM).select(text_col).coalesce(1)
     flat = _averaged(warm, start(voc.value), voc, RATE)
     for r in range(rounds):
-        part = training.where(F.pmod(draw, F.lit(rounds)) == r).select(text_col)
+        part = drawn.where(F.pmod("draw", F.lit(rounds)) == r).select(text_col)
         flat = _averaged(by_length(part, text_col), flat, voc, RATE / (2 + r))
     return flat
 
