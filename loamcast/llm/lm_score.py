@@ -37,6 +37,8 @@ WARM, ROUNDS = 2048, 1
 STEPS, LANES, POOL = 32, 512, 6_000_000
 #: Tokens whose class logits are worked out at once.
 BLOCK = 2048
+#: Bound on each state's gradient as it goes back in time.
+CLIP = 8
 #: Texts of more bytes are read by tasks of their own, each for so many input partitions: a lane is as
 #: long as its longest document, so short ones would wait for them.
 LONG, TOGETHER = 16_384, 4
@@ -233,6 +235,7 @@ class Net:
             np.multiply(d[:, 2 * n :], part, out=d[:, n : 2 * n])
             carry *= z[t]
             carry += d @ back
+            np.clip(carry, -CLIP, CLIP, out=carry)  # over a long window it could grow without bound
             if begins[t]:
                 carry[fresh[t]] = 0
         flat = du.reshape(-1, 3 * n)
@@ -289,8 +292,14 @@ def lay_out(docs: list[np.ndarray], lanes: int = LANES):
     return x.T, y.T, live.T, fresh.T, where, widths
 
 
-def _windows(steps: int):
-    return ((a, min(a + STEPS, steps)) for a in range(0, steps, STEPS))
+def _windows(widths: np.ndarray):
+    """(first step, end, lanes) of windows; where few lanes are left a window has more steps, up to LANES * STEPS tokens."""
+    at = 0
+    while at < len(widths):
+        n = int(widths[at])
+        to = min(len(widths), at + STEPS * max(1, LANES // n))
+        yield at, to, n
+        at = to
 
 
 def train(net: Net, docs: list[np.ndarray], rate: float = RATE) -> None:
@@ -298,10 +307,9 @@ def train(net: Net, docs: list[np.ndarray], rate: float = RATE) -> None:
         return
     x, y, live, fresh, _, widths = lay_out(docs)
     h = np.zeros((x.shape[1], HIDDEN), np.float32)
-    for a, b in _windows(len(x)):
-        n = int(widths[a])
-        # The last windows hold few, long documents; steps shrink with the lanes, or these would decide.
-        step = rate * n / max(int(widths[0]), 64)
+    for a, b, n in _windows(widths):
+        # The last windows hold few, long documents; steps shrink with their tokens, or these would decide.
+        step = rate * min(1.0, int(widths[a:b].sum()) / (STEPS * max(int(widths[0]), 64)))
         h[:n] = net.train_window(x[a:b, :n], y[a:b, :n], live[a:b, :n], fresh[a:b, :n], h[:n], step)
 
 
@@ -311,8 +319,7 @@ def score_docs(net: Net, docs: list[np.ndarray]) -> np.ndarray:
         return np.empty(0)
     x, y, live, fresh, where, widths = lay_out(docs)
     h, out = np.zeros((x.shape[1], HIDDEN), np.float32), np.zeros(x.shape, np.float32)
-    for a, b in _windows(len(x)):
-        n = int(widths[a])
+    for a, b, n in _windows(widths):
         states, h[:n], _ = net.forward(x[a:b, :n], fresh[a:b, :n], h[:n])
         lp, _ = net.output(states[1:].reshape(-1, HIDDEN), np.ascontiguousarray(y[a:b, :n]).ravel())
         out[a:b, :n] = lp.reshape(b - a, n)
