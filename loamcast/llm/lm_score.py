@@ -23,9 +23,9 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
-from loamcast.llm.common import longs, stage, texts_of
+from loamcast.llm.common import longs, slices, stage, texts_of
 
 #: Frequent words with outputs of their own, in classes of PER; classes of other words; hidden units.
 FREQUENT, PER, OTHER, HIDDEN = 2048, 64, 32, 24
@@ -39,9 +39,9 @@ STEPS, LANES, POOL = 32, 512, 6_000_000
 BLOCK = 2048
 #: Bound on each state's gradient as it goes back in time.
 CLIP = 8
-#: Texts of more bytes are read by tasks of their own, each for so many input partitions: a lane is as
+#: Texts of more tokens are read by tasks of their own, each for so many input partitions: a lane is as
 #: long as its longest document, so short ones would wait for them.
-LONG, TOGETHER = 16_384, 4
+LONG, TOGETHER = 2560, 4
 RATE = 0.04
 END = b"\n"
 
@@ -154,7 +154,7 @@ class Net:
         cls = np.where(y < FREQUENT, y // PER, y - FREQUENT + head).astype(np.int16)
         # Targets sorted by class, so that a class's columns are a slice.
         order = np.argsort(cls, kind="stable")
-        cls, y, hs = cls[order], y[order], hs[order]
+        cls, y, hs = cls[order], y[order], np.take(hs, order, axis=0)
         ends = np.searchsorted(cls, np.arange(head + 1)).tolist()
         lp, dh = np.empty(len(y), np.float32), None if grads is None else np.empty((len(y), HIDDEN), np.float32)
         for a in range(0, len(y), BLOCK):  # few enough at once that their logits stay in the cache
@@ -241,11 +241,11 @@ class Net:
         flat = du.reshape(-1, 3 * n)
         g.U += before.reshape(-1, n).T @ flat
         flat[:, 2 * n :] = dn_all.reshape(-1, n)
-        ids = np.ascontiguousarray(x).ravel()
+        ids = x.astype(np.int16).ravel()
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
         head = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        g.E[ids[head]] = np.add.reduceat(flat[order], head, axis=0)
+        g.E[ids[head]] = np.add.reduceat(np.take(flat, order, axis=0), head, axis=0)
         grad, scratch = g.flat, self.scratch
         grad *= min(1.0 / max(1, len(on)), 1.0 / (float(np.sqrt(grad @ grad)) + 1e-9))
         self.t += 1
@@ -332,11 +332,10 @@ def numbers(words: list[bytes], voc: Vocabulary) -> np.ndarray:
     return np.fromiter(map(voc.words.get, words, repeat(-1)), np.int32, len(words))
 
 
-def by_length(rows: DataFrame, text_col: str = "text") -> DataFrame:
+def by_length(coded: DataFrame) -> DataFrame:
     """The same rows, long texts in partitions of their own."""
-    long = F.coalesce(F.octet_length(text_col), F.lit(0)) > LONG
-    apart = rows.where(long)
-    return rows.where(~long).union(apart.coalesce(max(1, apart.rdd.getNumPartitions() // TOGETHER)))
+    apart = coded.where(F.col("n_tokens") > LONG)
+    return coded.where(F.col("n_tokens") <= LONG).union(apart.coalesce(max(1, apart.rdd.getNumPartitions() // TOGETHER)))
 
 
 class _Coder:
@@ -371,7 +370,7 @@ def count_words(texts: DataFrame, text_col: str = "text") -> DataFrame:
         for b in batches:
             for x in texts_of(b.column(0)):
                 c.update(tokens(x))
-                if len(c) > 200_000:
+                if len(c) > 400_000:
                     yield flush(c)
                     c = Counter()
         if c:
@@ -398,20 +397,60 @@ def learn_counts(training: DataFrame, text_col: str = "text") -> tuple[DataFrame
     return counts, Vocabulary(words, np.log10(c + 0.5), np.log10(of + 0.5 * (kinds + 1)), int(total), int(distinct))
 
 
-def _train_partition(flat, voc, rate):
-    flat_b, voc_b = flat, voc
+def code(rows: DataFrame, voc, text_col: str = "text") -> DataFrame:
+    """rows with CODED in the text's place: what the counts alone give, words out of the dictionary, and network ids.
+
+    base_part and score_part are sums of log10 over dictionary words; ids are 16-bit.
+    """
+    at, schema = rows.columns.index(text_col), rows.drop(text_col).schema
+    for c, kind in CODED:
+        schema = schema.add(c, kind)
 
     def run(batches):
-        coder, net, pool, size, seen = _Coder(voc_b.value), Net(flat_b.value.copy()), [], 0, 0
-        for b in batches:
-            for x in texts_of(b.column(0)):
-                pool.append(coder(tokens(x))[1])
-                size += len(pool[-1])
-                if size >= POOL:
-                    train(net, pool, rate)
-                    seen, pool, size = seen + size, [], 0
-        train(net, pool, rate)
-        seen += size
+        v = voc.value
+        coder = _Coder(v)
+        for whole in batches:
+            for b in slices(whole, at):
+                out = []
+                for x in texts_of(b.column(at)):
+                    words = tokens(x)
+                    n, ids = coder(words)
+                    known, other = n >= 0, ids >= FREQUENT
+                    logs = v.log_count[n[known]]
+                    # A word of a class of others has its smoothed share of the class's training tokens.
+                    part = logs[other[known]].sum() - v.class_words[ids[other] - FREQUENT].sum()
+                    rare = b" ".join([words[k] for k in np.flatnonzero(~known).tolist()])
+                    out.append((len(words), int(known.sum()), float(logs.sum()), float(part), rare, ids.astype(np.int16).tobytes()))
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary())
+                heads = [c for k, c in enumerate(b.columns) if k != at]
+                yield pa.RecordBatch.from_arrays([*heads, *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+CODED = (("n_tokens", "long"), ("n_dict", "long"), ("base_part", "double"), ("score_part", "double"), ("rare", "binary"), ("ids", "binary"))
+
+
+def _pools(batches, column: int):
+    """Lists of (batch, ids of its texts), about POOL tokens at a time."""
+    pool, size = [], 0
+    for b in batches:
+        pool.append((b, [np.frombuffer(x.as_buffer(), np.int16) for x in b.column(column)]))
+        size += sum(map(len, pool[-1][1]))
+        if size >= POOL:
+            yield pool
+            pool, size = [], 0
+    if pool:
+        yield pool
+
+
+def _train_partition(flat, rate):
+    def run(batches):
+        net, seen = Net(flat.value), 0
+        for pool in _pools(batches, 0):
+            docs = [d for _, ids in pool for d in ids]
+            train(net, docs, rate)
+            seen += sum(map(len, docs))
         if seen:
             n = len(net.flat)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(net.flat.astype(np.float64) * seen), pa.array(np.full(n, float(seen)))], names=["i", "wx", "w"])
@@ -419,10 +458,10 @@ def _train_partition(flat, voc, rate):
     return run
 
 
-def _averaged(texts: DataFrame, flat: np.ndarray, voc, rate: float) -> np.ndarray:
-    """Parameters after every partition of texts has trained a copy, averaged by tokens."""
-    at = texts.sparkSession.sparkContext.broadcast(flat)
-    rows = texts.mapInArrow(_train_partition(at, voc, rate), "i int, wx double, w double")
+def _averaged(coded: DataFrame, flat: np.ndarray, rate: float) -> np.ndarray:
+    """Parameters after every partition of coded texts has trained a copy, averaged by tokens."""
+    at = coded.sparkSession.sparkContext.broadcast(flat)
+    rows = coded.select("ids").mapInArrow(_train_partition(at, rate), "i int, wx double, w double")
     found = rows.groupBy("i").agg((F.sum("wx") / F.sum("w")).alias("p")).toArrow()  # one row per parameter
     out = flat.copy()
     if found.num_rows:
@@ -430,20 +469,36 @@ def _averaged(texts: DataFrame, flat: np.ndarray, voc, rate: float) -> np.ndarra
     return out
 
 
-def learn(training: DataFrame, voc, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> np.ndarray:
-    """The network's parameters after the start and all rounds."""
-    draw = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.monotonically_increasing_id())
-    drawn = training.withColumn("draw", draw)
+def learn(training: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
+    """The network's parameters after the start and all rounds over coded training texts with their `row`."""
+    drawn = training.withColumn("draw", F.xxhash64("row"))
     # About twice WARM rows pass the filter, so the one task that orders them holds no more.
     few = drawn.where(F.pmod("draw", F.lit(max(1, training.count()))) < 2 * WARM)
-    warm = few.orderBy("draw", text_col).limit(WARM).select(text_col).coalesce(1)
-    flat = _averaged(warm, start(voc.value), voc, RATE)
+    flat = _averaged(few.orderBy("draw", "row").limit(WARM).coalesce(1), start(voc), RATE)
     for r in range(rounds):
-        part = drawn.where(F.pmod("draw", F.lit(rounds)) == r).select(text_col)
-        flat = _averaged(by_length(part, text_col), flat, voc, RATE / (2 + r))
+        part = drawn.where(F.pmod("draw", F.lit(rounds)) == r)
+        flat = _averaged(by_length(part), flat, RATE / (2 + r))
     return flat
 
 
+def network_scores(coded: DataFrame, flat) -> DataFrame:
+    """coded without ids, with the network's part of each text's log10 probability added to score_part."""
+    at, schema = coded.columns.index("ids"), coded.drop("ids").schema
+    part = schema.names.index("score_part")
+
+    def run(batches):
+        net = Net(flat.value)
+        for pool in _pools(batches, at):
+            found, done = score_docs(net, [d for _, ids in pool for d in ids]), 0
+            for b, ids in pool:
+                columns = [c for k, c in enumerate(b.columns) if k != at]
+                columns[part] = pa.array(np.asarray(columns[part]) + found[done : done + len(ids)])
+                done += len(ids)
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return by_length(coded).mapInArrow(run, schema)
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
@@ -452,49 +507,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     spark = docs.sparkSession
     rows = docs.select(id_col, held_out(F.col(id_col)).alias("held_out"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    training = rows.where("not held_out")
-    counts, voc = learn_counts(training)
-    shared = spark.sparkContext.broadcast(voc)
-    flat = spark.sparkContext.broadcast(learn(training, shared, id_col, "text"))
-
-    schema = rows.drop("text").schema
-    for c, kind in (("n_tokens", "long"), ("n_dict", "long"), ("base_part", "double"), ("score_part", "double"), ("rare", "binary")):
-        schema = schema.add(c, kind)
-
-    def run(batches):
-        v = shared.value
-        coder, net = _Coder(v), Net(flat.value)
-        pending, size = [], 0
-
-        def flush(pending):
-            log10 = score_docs(net, [x[1] for x in pending])
-            cols = list(zip(*(x[0] for x in pending), strict=True))
-            n_tokens, n_dict, base, part, rare = (list(c) for c in cols[3:])
-            part = np.asarray(part) + log10
-            heads = [pa.array(list(c), f.type) for c, f in zip(cols[:3], heads_schema, strict=True)]
-            return pa.RecordBatch.from_arrays([*heads, longs(n_tokens), longs(n_dict), pa.array(base, pa.float64()), pa.array(part, pa.float64()), pa.array(rare, pa.binary())], names=schema.names)
-
-        for b in batches:
-            heads_schema = [b.schema.field(k) for k in range(3)]
-            for head, x in zip(zip(*(b.column(k).to_pylist() for k in range(3)), strict=True), texts_of(b.column(3)), strict=True):
-                words = tokens(x)
-                n, ids = coder(words)
-                known = n >= 0
-                logs = v.log_count[n[known]] if known.any() else np.empty(0)
-                other = ids >= FREQUENT
-                # A word of a class of others has its smoothed share of the class's training tokens.
-                part = logs[other[known]].sum() - v.class_words[ids[other] - FREQUENT].sum()
-                rare = b" ".join(words[k] for k in np.flatnonzero(~known).tolist())
-                pending.append(((*head, len(words), int(known.sum()), float(logs.sum()), float(part), rare), ids))
-                size += len(ids)
-                if size >= POOL:
-                    yield flush(pending)
-                    pending, size = [], 0
-        if pending:
-            yield flush(pending)
-
-    scored = stage(by_length(rows).mapInArrow(run, schema), "lm-scores")
-    words = scored.where(F.length("rare") > 0).select("row", F.explode(F.split(F.col("rare").cast("string"), " ")).alias("word"))
+    counts, voc = learn_counts(rows.where("not held_out"))
+    coded = stage(code(rows, spark.sparkContext.broadcast(voc)), "coded-texts")
+    flat = spark.sparkContext.broadcast(learn(coded.where("not held_out"), voc))
+    scored = network_scores(coded.drop("rare"), flat)
+    words = coded.where(F.length("rare") > 0).select("row", F.explode(F.split(F.col("rare").cast("string"), " ")).alias("word"))
     found = words.join(counts.select(F.col("word").cast("string").alias("word"), "c"), "word", "left")
     sums = found.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("logs"), F.count("c").alias("n_rare"))
     out = scored.join(sums, "row", "left").withColumn("logs", F.coalesce("logs", F.lit(0.0)))
