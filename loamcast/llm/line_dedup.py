@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loamcast.llm.common import stage
 
-RATIO, LEAST = 0.2, 3
+RATIO, LEAST = 0.1, 3
 
 
 def _lines(text: Column) -> Column:
@@ -69,7 +69,7 @@ with d as (select row_number() over () as r, doc_id, source, text, string_split(
 l as (select distinct r, source, unnest(ls) as line from d),
 c as (select source, line, count(*) as n from l where length(translate(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) > 0 group by source, line),
 p as (select source, count(*) as pages from d group by source),
-b as (select c.source, list(line) as drops from c join p on c.source is not distinct from p.source where n >= 3 and n > pages * 0.2::double group by c.source),
+b as (select c.source, list(line) as drops from c join p on c.source is not distinct from p.source where n >= 3 and n > pages * 0.1::double group by c.source),
 k as (select d.*, case when b.drops is null then ls else list_filter(ls, lambda x: not list_contains(b.drops, x)) end as ks from d left join b on d.source is not distinct from b.source)
 select doc_id, coalesce(len(ls), 0)::bigint as n_lines, coalesce(len(ls) - len(ks), 0)::bigint as n_dropped, md5(array_to_string(ks, chr(10))) as kept_md5 from k
 """
