@@ -24,8 +24,6 @@ from loamcast.llm.components import components
 
 SHINGLE, SEED, RADIUS, TILE = 3, 42, 2, 4096
 _BLOCK = 1 << 20
-#: Row numbers that are broadcast at most.
-BROADCAST_ROWS = 1 << 16
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -171,6 +169,5 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text
     by = [F.coalesce("component_id", F.lit(0)), F.when(F.col("component_id").isNull(), F.col("fp"))]
     first = group.groupBy(*(c.alias(f"g{k}") for k, c in enumerate(by))).agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("__row"))).alias("m"))
     kept = stage(first.select(F.col("m.__row").alias("__row")), "kept-rows")
-    # Row numbers compress so well that their file's size says little: only a counted few are broadcast.
-    kept = kept.hint("broadcast" if kept.count() <= BROADCAST_ROWS else "merge")
-    return keyed.join(kept, "__row", "left_semi").drop("__row")
+    # Row numbers compress so well that their file's size would have them broadcast however many they are.
+    return keyed.join(kept.hint("merge"), "__row", "left_semi").drop("__row")
