@@ -26,6 +26,13 @@ NOTICES = {
     "licensed under the apache license version": "apache-2.0",
     "permission is hereby granted free of charge to any person obtaining a copy": "mit",
     "released under the terms of the mit license": "mit",
+    "released under the mit license": "mit",
+    "licensed under the mit license": "mit",
+    "released under the apache license": "apache-2.0",
+    "licensed under the apache license": "apache-2.0",
+    "released under the bsd license": "bsd",
+    "licensed under the bsd license": "bsd",
+    "licensed under the mozilla public license": "mpl-2.0",
     "redistribution and use in source and binary forms with or without modification": "bsd",
     "this work is licensed under the gnu general public license version": "gpl",
     "under the terms of the gnu lesser general public license": "lgpl",
@@ -35,6 +42,8 @@ NOTICES = {
     "copyright the authors all rights reserved": "reserved",
 }
 EVERY = 12
+#: A shorter notice is told from others by its license's name alone, so it may differ by one edit.
+SHORT = 36
 _OTHER = bytes(x for x in range(128) if not (48 <= x <= 57 or 97 <= x <= 122 or 65 <= x <= 90))
 _TO_WORDS = bytes(range(256)).translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))).translate(bytes.maketrans(_OTHER, b" " * len(_OTHER)))
 SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
@@ -60,7 +69,7 @@ def _automaton(every: int):
     found: dict[str, list[tuple[int, int]]] = {}
     notices = []
     for k, (words, label) in enumerate(NOTICES.items()):
-        edits = max(1, len(words) // every)
+        edits = max(1, len(words) // every) if len(words) >= SHORT else 1
         cuts = np.linspace(0, len(words), edits + 2).astype(int).tolist()
         for a, b in zip(cuts, cuts[1:], strict=False):
             found.setdefault(words[a:b], []).append((k, a))
