@@ -104,27 +104,38 @@ def _member(data: bytes, at: int) -> tuple[bytes, int] | None:
     return (b"".join(parts), to - len(d.unused_data)) if d.eof else None
 
 
+def _inner(plain: bytes) -> tuple[list[dict], bool]:
+    """The valid records of a member's bytes, and whether all its bytes are theirs."""
+    out, pos, whole = [], 0, True
+    while pos < len(plain):
+        if r := _parse(plain, pos):
+            out.append(r[0])
+            pos = r[1]
+        else:
+            whole, pos = False, plain.find(b"WARC/1.", pos + 1)
+            if pos < 0:
+                break
+    return out, whole
+
+
 def salvage(data: bytes) -> Iterator[tuple[str, object]]:
     """Yield ("record", dict) for each valid record and ("gap", (start, end)) for quarantined bytes.
 
     Takes plain and gzip archives, mixed too. Empty members and stray line ends between records
-    are no gaps.
+    are no gaps. A member that holds other bytes beside valid records is a gap itself, as its bad range
+    has no place of its own in the archive; its records are yielded all the same.
     """
     at, bad, n = 0, None, len(data)
     while at < n:
         got = None
         if data.startswith(_MAGIC, at):
             if (m := _member(data, at)) is not None:
-                plain, end = m
-                inner, pos = [], 0
-                while pos < len(plain) and (r := _parse(plain, pos)):
-                    inner.append(r[0])
-                    pos = r[1]
-                if pos == len(plain):
-                    got = inner, end
+                inner, whole = _inner(m[0])
+                if inner or whole:
+                    got = inner, m[1], whole
         elif data.startswith(b"WARC/1.", at):
             if r := _parse(data, at):
-                got = [r[0]], r[1]
+                got = [r[0]], r[1], True
         elif bad is None and data[at : at + 1] in b"\r\n":
             at += 1
             continue
@@ -134,6 +145,8 @@ def salvage(data: bytes) -> Iterator[tuple[str, object]]:
                 bad = None
             for x in got[0]:
                 yield "record", x
+            if not got[2]:
+                yield "gap", (at, got[1])
             at = got[1]
             continue
         if bad is None:
