@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -17,10 +18,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see, from spark.checkpoint.dir.
 
-    Where the setting is absent (single-machine tests) a temporary folder is set for the session.
+    Where the setting is absent a temporary folder is set for a session whose executors share the
+    driver's machine (local masters, as in tests); on a cluster its absence is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loamcast-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -44,6 +48,28 @@ class StageTable:
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def unused(df: DataFrame, *names: str) -> str | list[str]:
+    """Names like these that no column of df has (case apart), for columns beside the caller's own."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out[0] if len(out) == 1 else out
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, ..., which no column that an operator adds is called."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+
+def restored(df: DataFrame, names: list[str], *more: str) -> DataFrame:
+    """The columns c0, c1, ... under their own names again, and more behind them."""
+    return df.select(*(f"c{k}" for k in range(len(names))), *more).toDF(*names, *more)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back."""
     out = StageTable(df, name).df

@@ -17,7 +17,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loamcast.llm.common import stage, word_count
+from loamcast.llm.common import numbered, restored, stage, unused, word_count
 
 WEIGHTS, SHARE, CAP, SEED = (5, 2, 1), 1.5, 2.0, "mix-1"
 #: Buckets per unit of key, coarse and fine.
@@ -95,11 +95,20 @@ def plan_mix(keyed: DataFrame, weights: tuple, share: float, cap: float) -> Data
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", size: Column | None = None, quality: Column | None = None, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
     """docs with __size, source_size, target and copies (times the mix takes the row).
 
-    Null or empty texts have size 0 and no more than their source's epochs as copies. A null source is
-    a source of its own. Rows that repeat an id share its draw and are told apart by their order.
-    An empty table gives an empty result.
+    Where docs has a column of one of these names, the new one's gets underscores in front; so the last
+    four columns are always these. size and quality are expressions over docs. Null or empty texts have
+    size 0 and no more than their source's epochs as copies; long texts count whole, and a document longer
+    than its source's rest is taken if that brings the total nearer. A null source is a source of its own.
+    Rows that repeat an id share its draw; equal keys are told apart by the rows' order. An empty table
+    gives an empty result.
     """
-    keyed = _keyed(docs, id_col, source_col, text_col, size, quality, seed)
+    rows = numbered(docs)
+    at = lambda name: rows.columns[docs.columns.index(name)]
+    own = [c.alias(n) for c, n in ((size, "given_size"), (quality, "given_quality")) if c is not None]
+    if own:
+        rows = docs.select("*", *own).toDF(*rows.columns, *(n for c, n in ((size, "given_size"), (quality, "given_quality")) if c is not None))
+    given = lambda c, n: None if c is None else F.col(n)
+    keyed = _keyed(rows, at(id_col), at(source_col), at(text_col), given(size, "given_size"), given(quality, "given_quality"), seed)
     plan = plan_mix(keyed, weights, share, cap)
     tag = F.struct(F.col("__source").isNull().alias("n"), F.coalesce("__source", F.lit("")).alias("v"))
     joined = keyed.withColumn("__s", tag).join(plan, "__s")
@@ -109,14 +118,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
         (F.col("__fine") == F.col("last___fine")) & (F.struct("__key", "__row") <= F.col("last_taken")),
     ]
     chosen = F.coalesce(reduce(lambda a, b: a | b, (F.coalesce(t, F.lit(False)) for t in tests)), F.lit(False))
-    joined = joined.withColumn("copies", F.col("epochs") + chosen.cast("int"))
-    return joined.select(*docs.columns, "__size", "source_size", "target", "copies")
+    out = restored(joined.withColumn("copies", F.col("epochs") + chosen.cast("int")), docs.columns, "__size", "source_size", "target", "copies")
+    return out.toDF(*docs.columns, *unused(docs, "__size", "source_size", "target", "copies"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mixture itself: every row of docs as often as the mix takes it."""
+    """The mixture itself: every row of docs as often as the mix takes it, with the columns of docs."""
     out = mix(docs, **options)
-    return out.where("copies > 0").withColumn("__n", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*docs.columns)
+    rows = numbered(out)
+    return restored(rows.withColumn("n", F.explode(F.array_repeat(F.lit(0), F.col(rows.columns[-1])))), docs.columns)
 
 
 ORACLE = """

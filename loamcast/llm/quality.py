@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from loamcast.llm.common import longs, stage, texts_of
+from loamcast.llm.common import longs, numbered, restored, stage, texts_of
 
 SYMBOLS = b"#*$%&|<>"
 _SPACE = bytes([32, *range(9, 14)])
@@ -142,10 +142,21 @@ def judge(measured: DataFrame, least: float = MIN_POSTERIOR) -> DataFrame:
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, FEATURES, base_failed, posterior, kept) for every row."""
+    """(id_col, FEATURES, base_failed, posterior, kept) for every row.
+
+    Only the id and the text are read, so other columns of docs may have any name. A null text has no
+    words and fails the base rule, as an empty one; long texts are read whole. Rows with equal texts have
+    equal results, repeated rows a row each, a null id stays null. An empty table gives an empty result.
+    """
     return judge(stage(features(docs.select(id_col, text_col), text_col).drop(text_col), "quality-features"))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs that are kept, with the columns of docs."""
-    return judge(stage(features(docs, text_col), "quality-documents")).where("kept").select(*docs.columns)
+    """The rows of docs that are kept, with the columns of docs, whatever these are called.
+
+    Null, empty and short texts fail the base rule; long texts are read whole. Repeated rows are judged
+    one by one, alike. An empty table gives an empty result.
+    """
+    rows = numbered(docs)
+    measured = stage(features(rows, rows.columns[docs.columns.index(text_col)]), "quality-documents")
+    return restored(judge(measured).where("kept"), docs.columns)

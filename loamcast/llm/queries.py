@@ -33,8 +33,9 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.clean(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), F.col("source"))
-    return found.select("doc_id", F.col("__lines").cast("long").alias("n_lines"), F.col("__dropped").cast("long").alias("n_dropped"), F.md5("text").alias("kept_md5"))
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = line_dedup.clean_pages(pages)
+    return found.select("page_id", line_dedup.host(F.col("url")).alias("host"), F.col("__lines").cast("long").alias("n_lines"), F.col("__dropped").cast("long").alias("n_dropped"), F.md5("html").alias("kept_md5"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

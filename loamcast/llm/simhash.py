@@ -19,11 +19,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from loamcast.llm.common import longs, stage, texts_of
+from loamcast.llm.common import longs, restored, stage, texts_of, unused
 from loamcast.llm.components import components
 
 SHINGLE, SEED, RADIUS, TILE = 3, 42, 2, 4096
-_BLOCK = 1 << 20
+_BLOCK, _STEP = 1 << 20, 1 << 14
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -57,22 +57,35 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return slim.mapInArrow(run, schema)
 
 
-def _forest(pairs: list[tuple[np.ndarray, np.ndarray]]):
-    """A spanning forest of the pairs."""
-    parent: dict[int, int] = {}
+class _Forest:
+    """A spanning forest of the pairs of one tile, folded in block by block; what is joined already is passed over."""
 
-    def find(x):
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+        self.edges: list[tuple[int, int]] = []
+
+    def find(self, x: int) -> int:
+        parent = self.parent
         while (p := parent.setdefault(x, x)) != x:
             parent[x] = x = parent.setdefault(p, p)
         return x
 
-    out = []
-    for a, b in pairs:
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            if (p := find(x)) != (q := find(y)):
-                parent[max(p, q)] = min(p, q)
-                out.append((x, y))
-    return out
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        while len(a):
+            for x, y in zip(a[:_STEP].tolist(), b[:_STEP].tolist(), strict=True):
+                if (p := self.find(x)) != (q := self.find(y)):
+                    self.parent[max(p, q)] = min(p, q)
+                    self.edges.append((x, y))
+            a, b = a[_STEP:], b[_STEP:]
+            if len(a):  # a dense tile: most of the rest hangs together by now
+                nodes, where = np.unique(np.concatenate([a, b]), return_inverse=True)
+                root = np.fromiter(map(self.find, nodes.tolist()), np.int64, len(nodes))[where]
+                apart = root[: len(a)] != root[len(a) :]
+                a, b = a[apart], b[apart]
+
+    def take(self) -> list[tuple[int, int]]:
+        out, self.edges, self.parent = self.edges, [], {}
+        return out
 
 
 def _matches(base: np.ndarray, other: np.ndarray, radius: int, own: bool):
@@ -90,12 +103,13 @@ def _matches(base: np.ndarray, other: np.ndarray, radius: int, own: bool):
 
 def _compare(radius: int):
     def run(batches):
-        key, base, done, pairs, out = None, [], True, [], []
+        key, base, done, forest, out = None, [], True, _Forest(), []
 
         def own():
             nonlocal base, done
             base, done = np.concatenate(base) if base else np.empty(0, np.uint64), True
-            pairs.extend(_matches(base, base, radius, True))
+            for a, b in _matches(base, base, radius, True):
+                forest.add(a, b)
 
         for b in batches:
             k = np.asarray(b.column(0)) * np.int64(1 << 32) + np.asarray(b.column(1))
@@ -105,20 +119,21 @@ def _compare(radius: int):
                 if k[lo] != key:
                     if not done:
                         own()
-                    out += _forest(pairs)
-                    key, base, done, pairs = k[lo], [], False, []
+                    out += forest.take()
+                    key, base, done = k[lo], [], False
                 if kind[lo] == 0:
                     base.append(fp[lo:hi])
                 else:
                     if not done:
                         own()
-                    pairs.extend(_matches(base, fp[lo:hi], radius, False))
+                    for x, y in _matches(base, fp[lo:hi], radius, False):
+                        forest.add(x, y)
             if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([longs([x for x, _ in out]), longs([y for _, y in out])], names=["u", "v"])
                 out = []
         if not done:
             own()
-        out += _forest(pairs)
+        out += forest.take()
         if out:
             yield pa.RecordBatch.from_arrays([longs([x for x, _ in out]), longs([y for _, y in out])], names=["u", "v"])
 
@@ -143,31 +158,42 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     return rows.mapInArrow(_compare(radius), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:
-    """(id_col, *keep, fp, component_id) for every row of docs.
-
-    component_id is the least id reachable by links; null ids are passed over, so it is null only
-    where all ids of a component are. Rows without words share fingerprint zero. Repeated rows keep
-    a row each. An empty table gives an empty result.
-    """
+def _rooted(docs: DataFrame, radius: int, id_col: str, text_col: str, keep: tuple) -> DataFrame:
+    """fingerprints() with component_id and the component's least fingerprint `root`."""
     rows = stage(fingerprints(docs, id_col, text_col, keep), "fingerprints")
     least = stage(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct-fingerprints")
-    roots = components(links(least.select("fp"), radius))
+    roots = stage(components(links(least.select("fp"), radius)), "fingerprint-roots")
     known = roots.select(F.col("node").alias("fp"), "root").join(least, "fp")
     whole = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = known.select("fp", "root").join(whole, "root").select("fp", "component_id")
-    every = least.join(of, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(stage(every, "fingerprint-components"), "fp").select(id_col, *keep, "fp", "component_id")
+    of = known.select("fp", "root").join(whole, "root").select("fp", "root", "component_id")
+    every = least.join(of, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
+    return rows.join(stage(every, "fingerprint-components"), "fp")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:
+    """(id_col, *keep, fp, component_id) for every row of docs; its other columns are not read.
+
+    component_id is the least id reachable by links; null ids are passed over, so it is null only
+    where all ids of a component are. Null and empty texts have no words; rows without words share
+    fingerprint zero. Long texts are read whole. Repeated rows keep a row each. An empty table gives an
+    empty result.
+    """
+    own = [id_col, *keep]
+    slim = docs.select(*own, text_col).toDF(*(f"c{k}" for k in range(len(own))), "text")
+    found = _rooted(slim, radius, "c0", "text", tuple(f"c{k}" for k in range(1, len(own))))
+    return restored(found, own, "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, one of each component: that with the least id (nulls last), then the first row."""
-    keyed = docs.withColumn("__row", F.monotonically_increasing_id())
-    found = near_duplicates(keyed, radius, id_col, text_col, ("__row",))
-    group = found.select("__row", id_col, "fp", "component_id")
-    # A component whose ids are all null is told apart by its least fingerprint.
-    by = [F.coalesce("component_id", F.lit(0)), F.when(F.col("component_id").isNull(), F.col("fp"))]
-    first = group.groupBy(*(c.alias(f"g{k}") for k, c in enumerate(by))).agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("__row"))).alias("m"))
-    kept = stage(first.select(F.col("m.__row").alias("__row")), "kept-rows")
+    """The rows of docs, one of each component: that with the least id (nulls last), then the first row.
+
+    The columns are those of docs, whatever they are called; rows are as near_duplicates() sees them.
+    """
+    row = unused(docs, "row")
+    keyed = stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-rows")
+    slim = keyed.select(F.col(id_col).alias("id"), F.col(row).alias("row"), F.col(text_col).alias("text"))
+    found = _rooted(slim, radius, "id", "text", ("row",))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("m"))
+    kept = stage(first.select(F.col("m.row").alias(row)), "kept-rows")
     # Row numbers compress so well that their file's size would have them broadcast however many they are.
-    return keyed.join(kept.hint("merge"), "__row", "left_semi").drop("__row")
+    return keyed.join(kept.hint("merge"), row, "left_semi").select(*docs.columns)

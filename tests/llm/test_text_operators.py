@@ -17,7 +17,10 @@ from oracle import check
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names the operators use inside must not disturb them.
-CLASH = "row long, fp long, size long, __x string, component_id long, n_words long, copies long, target double"
+CLASH = (
+    "row long, fp long, size long, __x string, component_id long, n_words long, copies long, target double, posterior double, kept long, base_failed long, "
+    "epochs long, source_size long, __size long, __key double, __row long, drop string, site_key string, __lines long, __dropped long, t string, c0 long, c1 long, salt int, root long, rep long, value long, labels string, score double, n long, digest string, id long, s string"
+)
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -123,12 +126,42 @@ def slow_quality(text):
 
 def test_quality_measures(docs, empty):
     rows = docs.collect()
-    got = quality.score(clashing(docs).drop("n_words")).collect()
+    got = quality.score(clashing(docs)).collect()
     assert Counter((r.doc_id, *r[1:6]) for r in got) == Counter((r.doc_id, *slow_quality(r.text)) for r in rows)
     assert all(r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.kept and r.base_failed) for r in got)
     assert quality.score(empty).count() == quality.keep_good(empty).count() == 0
-    kept = quality.keep_good(docs)
-    assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in got)
+    kept = quality.keep_good(clashing(docs))
+    assert kept.columns == clashing(docs).columns and kept.count() == sum(r.kept for r in got)
+    assert kept.where("posterior = 9 and n_words = 9").count() == kept.count()
+
+
+def test_quality_verdict_by_hand(docs):
+    """kept and posterior of every document by EM written out in plain Python."""
+    rows = docs.collect()
+    votes = []
+    for r in rows:
+        b = (r.text or "").encode()
+        n, chars, symbols, dup, rep = slow_quality(r.text)
+        lines = sum(1 for x in b.split(b"\n") if WORD.search(x))
+        letters = sum(1 for w in WORD.findall(b) if w[:1].isalpha() or 0xC3 <= w[0] < 0xF5)
+        m = max(n, 1)
+        say = lambda good, bad: 1 if bad else 2 if good else 0
+        votes.append((say(n >= 100, n < 50), say(rep / m < 0.1, rep / m > 0.5), say(symbols < 0.01 * chars, symbols > 0.1 * chars), say(3.5 <= chars / m <= 9, not 2 <= chars / m <= 14), say(dup == 0, dup > 0.3 * lines), say(letters / m > 0.9, letters / m < 0.6)))
+    prior, chance = 0.8, [[{0: 0.2, 1: 0.64, 2: 0.16} for _ in range(6)], [{0: 0.2, 1: 0.16, 2: 0.64} for _ in range(6)]]
+    for _ in range(100):
+        post = []
+        for v in votes:
+            good, bad = prior, 1 - prior
+            for k in range(6):
+                good, bad = good * chance[1][k][v[k]], bad * chance[0][k][v[k]]
+            post.append(good / (good + bad))
+        for y in (0, 1):
+            for k in range(6):
+                mass = {x: 1 + sum((p if y else 1 - p) for p, v in zip(post, votes, strict=True) if v[k] == x) for x in range(3)}
+                chance[y][k] = {x: q / sum(mass.values()) for x, q in mass.items()}
+        prior = (sum(post) + 1) / (len(post) + 2)
+    want = Counter((r.doc_id, round(p, 4), p >= 0.5 and not (slow_quality(r.text)[0] < 50 or 100 * slow_quality(r.text)[4] > 50 * slow_quality(r.text)[0])) for r, p in zip(rows, post, strict=True))
+    assert Counter((r.doc_id, round(r.posterior, 4), r.kept) for r in quality.score(docs).collect()) == want
 
 
 def test_em_finds_planted_accuracies():
@@ -152,23 +185,55 @@ def test_quality_on_labels(spark):
     assert all(r.kept for r in got if r.quality == 1) and sum(not r.kept for r in got if r.quality == 0) >= 5
 
 
-def test_line_dedup_equals_sql(spark, tmp_path):
-    rows = corpus()
-    for k in range(40):
-        rows.append((3000 + k, f"own line {k}\nsite footer\n\n  \nend {k % 20}", "en", "busy" if k % 2 else None, 1))
-    spark.createDataFrame(rows, DOC).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
-    for t in "region nation customer supplier part orders lineitem events embeddings pages benchmark labels conversations".split():
+def slow_html_lines(html):
+    for p in (r"(?s)<!--.*?-->", r"(?s)<(?:script|SCRIPT)[ >].*?</(?:script|SCRIPT)[^>]*>", r"(?s)<(?:style|STYLE)[ >].*?</(?:style|STYLE)[^>]*>"):
+        html = re.sub(p, "\n", html)
+    out, at = "", 0
+    for m in re.finditer(r"<([!/]?)([A-Za-z][A-Za-z0-9]*)?[^>]*>", html):
+        if m[1] == "!" or m[2]:
+            out += html[at : m.start()] + ("\n" if m[2] and (m[2] in line_dedup.BLOCKS.split("|") or re.fullmatch("[hH][1-6]", m[2])) and m[1] != "!" else "")
+            at = m.end()
+    return [x for x in (x.strip(" \t\x0b\f\r") for x in (out + html[at:]).split("\n")) if x]
+
+
+def sites(spark, tmp_path, rows):
+    spark.createDataFrame([(*r, 7, "x") for r in rows], "page_id long, url string, html string, t long, site_key string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    for t in "region nation customer supplier part orders lineitem events embeddings documents benchmark labels conversations".split():
         (tmp_path / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
-    df = queries.op7_line_dedup(spark, str(tmp_path))
-    check(df, queries.ORACLES["op7_line_dedup"], str(tmp_path))
-    assert df.where("n_dropped > 0").count() >= 30
+    return str(tmp_path)
+
+
+def test_line_dedup_by_host(spark, tmp_path):
+    page = "<html><head><title>{0}</title><style>p{{}}</style><script>var t='</p>';</script></head><body><!-- c --><nav><ul><li>Home</li><li>About {1}</li></ul></nav><p>own <b>text</b> {0}<br>second<hr/>  \n\tend {2}</p><footer>Imprint</footer></body></html>"
+    rows = [(k, f"http://{'BIG.example.com' if k % 3 else 'user@small.example.org:80'}/p/{k}?q=http://x/", page.format(k, k % 2, k % 20)) for k in range(60)]
+    rows += [(100, None, page.format(1, 1, 1)), (101, "http://big.example.com", None), (102, "no url", ""), (103, "", " \n "), (None, "https://big.example.com#f", "Imprint"), (5, rows[5][1], rows[5][2])]
+    rows += [(200 + k, f"http://one{k}.example.net/", "<p>Imprint<p>Imprint") for k in range(5)] + [(300, "http://big.example.com/long", "<p>w</p>" * 50_000), (301, "http://big.example.com/a", "<div")]
+    d = sites(spark, tmp_path, rows)
+    df = queries.op7_line_dedup(spark, d)
+    check(df, queries.ORACLES["op7_line_dedup"], d)
+    by, host = {}, lambda u: None if u is None else (re.match(line_dedup.HOST, u) or ["", ""])[1].lower()
+    for _, u, h in rows:
+        by.setdefault(host(u), []).append(set(slow_html_lines(h or "")))
+    gone = {u: {x for x in set().union(*v) if (n := sum(x in p for p in v)) >= 3 and n > 0.2 * len(v)} for u, v in by.items()}
+    want = Counter()
+    for i, u, h in rows:
+        if h is None:
+            want[i, host(u), 0, 0, None] += 1
+        else:
+            lines = slow_html_lines(h) or [""]
+            kept = [x for x in lines if x not in gone[host(u)]]
+            want[i, host(u), len(lines), len(lines) - len(kept), hashlib.md5("\n".join(kept).encode()).hexdigest()] += 1
+    assert Counter(map(tuple, df.collect())) == want
+    assert {"Home", "Imprint", "About 0"} <= gone["big.example.com"] and gone["one0.example.net"] == set()
 
 
 def test_line_dedup_is_native_and_keeps_columns(docs, empty, spark):
     out = line_dedup.dedup_lines(clashing(docs), F.col("source"))
     assert out.columns == clashing(docs).columns and out.count() == docs.count()
-    plan = out._jdf.queryExecution().toString()
-    assert not re.search("Python|Arrow|Pandas", plan)
+    assert out.where("site_key = '9' and drop = '9' and c0 = 9").count() == docs.count()
+    pages = line_dedup.clean_pages(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
+    for plan in (out, pages):
+        assert not re.search("Python|Arrow|Pandas", plan._jdf.queryExecution().toString())
     assert line_dedup.dedup_lines(empty, F.col("source")).count() == 0
     assert out.where("doc_id = 1000").first().text is None
 
@@ -182,8 +247,11 @@ def test_mixing_equals_sql(spark, tmp_path):
 
 
 def test_mixing_targets(docs, empty):
-    got = mixing.mix(clashing(docs).drop("target", "copies", "size")).collect()
+    clash = mixing.mix(clashing(docs))
+    assert clash.columns == [*clashing(docs).columns, "___size", "_source_size", "_target", "_copies"]
+    got = mixing.mix(docs).collect()
     assert len(got) == docs.count()
+    assert Counter((r.doc_id, r.text, r.copies) for r in got) == Counter((r.doc_id, r.text, r._copies) for r in clash.collect())
     by = {}
     for r in got:
         assert r["__size"] == len(WORD.findall((r.text or "").encode())) and 0 <= r.copies <= 2
@@ -196,7 +264,7 @@ def test_mixing_targets(docs, empty):
         assert abs(sum(r["__size"] * r.copies for r in v) - target[s]) <= max(r["__size"] for r in v)
     again = mixing.mix(docs).collect()
     assert Counter((r.doc_id, r.text, r.copies) for r in got) == Counter((r.doc_id, r.text, r.copies) for r in again)
-    assert mixing.mixed(docs).count() == sum(r.copies for r in got) and mixing.mixed(docs).columns == docs.columns
+    assert mixing.mixed(docs).count() == sum(r.copies for r in got) and mixing.mixed(clashing(docs)).columns == clashing(docs).columns
     assert mixing.mix(empty).count() == 0
 
 
