@@ -3,19 +3,26 @@
 Words are predicted one by one with a class-factored softmax: the recurrent state gives a
 distribution over classes; a class of frequent words has a softmax over its members, and a class of
 other words (told apart by their last bytes) gives a word its share of the class's smoothed training
-count. Probabilities of all known words and one unknown word per class sum to one.
+count. Probabilities of all known words and one unknown word per class sum to one. The words with outputs
+of their own grow with the square root of the vocabulary.
 
 Counts come from all training texts. The network starts from WARM documents (least hash first), then
-goes over all training texts once, in ROUNDS parts: every task trains a copy by truncated backpropagation
-and the copies are averaged by their tokens. State is carried across windows from a document's first
-word to its end, in training and in scoring; windows only cut the gradient.
-
-Words beyond the KEEP most frequent are looked up by a join, so no vocabulary is ever held whole.
+goes over all training texts once, in ROUNDS rounds. Texts belong to shards by a hash of themselves, whose
+number grows with the square root of the training tokens; in each round every shard trains a copy by
+truncated backpropagation, and the copies are averaged by their tokens before the next. Nothing depends on
+how the input is partitioned. Every update of the parameters follows UPDATE tokens or more, whatever the
+texts' lengths.
+
+State is carried across windows, which only cut the gradient: from a document's first word to its end in
+scoring, over SPAN tokens in training. Words beyond the dictionary that workers hold are looked up by a
+join, so no vocabulary is ever held whole.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
+import math
 import zlib
 from collections import Counter
 from itertools import repeat
@@ -27,20 +34,26 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loamcast.llm.common import longs, slices, stage, texts_of
 
-#: Frequent words with outputs of their own, in classes of PER; classes of other words; hidden units.
-FREQUENT, PER, OTHER, HIDDEN = 2048, 64, 32, 24
-#: Words (of LONGEST bytes at most) whose counts every worker holds.
+#: Frequent words with outputs of their own come in classes of PER, one class for each WIDTH of the square
+#: root of the distinct words; classes of other words; hidden units.
+PER, WIDTH, OTHER, HIDDEN = 64, 16, 32, 24
+#: Words (of LONGEST bytes at most) whose counts every worker holds, if frequent ones aren't more.
 KEEP, LONGEST = 131_072, 256
-#: Documents of the start, and passes' parts over the training texts that are averaged.
-WARM, ROUNDS = 2048, 1
+#: Documents of the start, and rounds after which the shards' copies are averaged.
+WARM, ROUNDS = 2048, 4
+#: A corpus of SHARD tokens has one shard, one of k * k times as many has k; vectors of shards are summed in
+#: so many groups before they reach the driver.
+SHARD, GROUPS = 100_000, 16
 #: Steps of a backpropagation window, lanes read side by side, tokens laid out at once.
-STEPS, LANES, POOL = 32, 512, 6_000_000
+STEPS, LANES, POOL = 32, 256, 6_000_000
+#: Tokens of an update at least, and tokens over which a document's state is carried in training.
+UPDATE, SPAN = 4096, 1024
 #: Tokens whose class logits are worked out at once.
 BLOCK = 2048
 #: Bound on each state's gradient as it goes back in time.
 CLIP = 8
-#: Texts of more tokens are read by tasks of their own, each for so many input partitions: a lane is as
-#: long as its longest document, so short ones would wait for them.
+#: In scoring, texts of more tokens are read by tasks of their own, each for so many input partitions: a lane
+#: is as long as its longest document, so short ones would wait for them. This changes no score.
 LONG, TOGETHER = 2560, 4
 RATE = 0.04
 END = b"\n"
@@ -48,10 +61,10 @@ END = b"\n"
 
 def start(voc: Vocabulary) -> np.ndarray:
     """Parameters of a network whose biases give the training counts' own distribution."""
-    net, n = Net(), voc.frequent
+    net, n = Net(voc.frequent), min(voc.frequent, len(voc.words))
     net.w[:] = -30  # numbers without a word
     net.w[:n] = voc.log_count[:n] * np.log(10)
-    head = FREQUENT // PER
+    head = net.frequent // PER
     mass = np.exp(net.w.astype(np.float64)).reshape(head, PER).sum(axis=1)
     net.c[:head] = np.log(mass)
     net.c[head:] = voc.class_words * np.log(10)
@@ -74,8 +87,12 @@ def other_class(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % OTHER
 
 
+def frequent(distinct: int) -> int:
+    return PER * max(1, -(-math.isqrt(distinct) // WIDTH))
+
+
 class Vocabulary(NamedTuple):
-    """What all workers hold: bounded by KEEP words."""
+    """What all workers hold: KEEP words, or the frequent ones if these are more."""
 
     words: dict  # word -> its number, most frequent first
     log_count: np.ndarray  # log10(count + 0.5) by number
@@ -85,15 +102,16 @@ class Vocabulary(NamedTuple):
 
     @property
     def frequent(self) -> int:
-        return min(FREQUENT, len(self.words))
+        """Numbers of words with outputs of their own; the last few may have no word."""
+        return frequent(self.distinct)
 
 
 class Net:
     """The network: parameters in one vector, so that copies can be averaged."""
 
-    def __init__(self, flat: np.ndarray | None = None):
-        h, self.classes = HIDDEN, FREQUENT // PER + OTHER
-        shapes = {"E": (FREQUENT + OTHER + 1, 3 * h), "U": (h, 3 * h), "C": (h, self.classes), "c": (self.classes,), "W": (FREQUENT, h), "w": (FREQUENT,)}
+    def __init__(self, frequent: int, flat: np.ndarray | None = None):
+        h, self.frequent, self.classes = HIDDEN, frequent, frequent // PER + OTHER
+        shapes = {"E": (frequent + OTHER + 1, 3 * h), "U": (h, 3 * h), "C": (h, self.classes), "c": (self.classes,), "W": (frequent, h), "w": (frequent,)}
         size = sum(int(np.prod(s)) for s in shapes.values())
         if flat is None:
             flat = np.random.default_rng(7).normal(0, 0.08, size)
@@ -103,7 +121,7 @@ class Net:
             setattr(self, name, self.flat[at : at + n].reshape(shape))
             at += n
         self.m = self.v = self.grads = None  # made when training begins
-        self.t, self.space = 0, {}
+        self.t, self.seen, self.space = 0, 0, {}
 
     def buffer(self, name: str, *shape: int) -> np.ndarray:
         """Memory that is used again: what a window fills is read before the next one begins."""
@@ -147,11 +165,11 @@ class Net:
     def output(self, hs: np.ndarray, y: np.ndarray, grads=None):
         """Natural log probabilities of targets y (class part, and word part of frequent words).
 
-        y is a frequent word's number, or FREQUENT + class. With grads, also the states' gradient.
+        y is a frequent word's number, or self.frequent + class. With grads, also the states' gradient.
         """
         # Classes lie along the first axis, so that sums over them run along memory.
-        head = FREQUENT // PER
-        cls = np.where(y < FREQUENT, y // PER, y - FREQUENT + head).astype(np.int16)
+        head = self.frequent // PER
+        cls = np.where(y < self.frequent, y // PER, y - self.frequent + head).astype(np.int32)
         # Targets sorted by class, so that a class's columns are a slice.
         order = np.argsort(cls, kind="stable")
         cls, y, hs = cls[order], y[order], np.take(hs, order, axis=0)
@@ -200,12 +218,12 @@ class Net:
         return lp, dh
 
     def train_window(self, x, y, live, fresh, h, rate):
-        """One step of gradient descent on a window; returns the state after it."""
+        """Add a window's gradient, and descend where UPDATE tokens have been seen; returns the state after it."""
         states, h_end, (before, z, r, un, new) = self.forward(x, fresh, h, True)
         if self.grads is None:
-            self.m, self.v, self.grads, self.scratch = np.zeros_like(self.flat), np.zeros_like(self.flat), Net(self.flat), np.empty_like(self.flat)
+            self.m, self.v, self.grads, self.scratch = np.zeros_like(self.flat), np.zeros_like(self.flat), Net(self.frequent, self.flat), np.empty_like(self.flat)
+            self.grads.flat[:] = 0
         g, n, (steps, lanes) = self.grads, HIDDEN, x.shape
-        g.flat[:] = 0
         # Input t is the token before target t, which the state after it predicts.
         hs, targets, on = states[1:].reshape(-1, n), np.ascontiguousarray(y).ravel(), np.flatnonzero(live.ravel())
         if len(on) == len(targets):
@@ -241,13 +259,22 @@ class Net:
         flat = du.reshape(-1, 3 * n)
         g.U += before.reshape(-1, n).T @ flat
         flat[:, 2 * n :] = dn_all.reshape(-1, n)
-        ids = x.astype(np.int16).ravel()
+        ids = x.ravel()
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
         head = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        g.E[ids[head]] = np.add.reduceat(np.take(flat, order, axis=0), head, axis=0)
-        grad, scratch = g.flat, self.scratch
-        grad *= min(1.0 / max(1, len(on)), 1.0 / (float(np.sqrt(grad @ grad)) + 1e-9))
+        g.E[ids[head]] += np.add.reduceat(np.take(flat, order, axis=0), head, axis=0)
+        self.seen += len(on)
+        if self.seen >= UPDATE:
+            self.descend(rate)
+        return h_end
+
+    def descend(self, rate: float) -> None:
+        """One step by the gradient that has been added up, if any."""
+        if not self.seen:
+            return
+        grad, scratch = self.grads.flat, self.scratch
+        grad *= min(1.0 / self.seen, 1.0 / (float(np.sqrt(grad @ grad)) + 1e-9))
         self.t += 1
         self.m *= 0.9
         self.m += np.multiply(grad, np.float32(0.1), out=scratch)
@@ -259,12 +286,14 @@ class Net:
         np.divide(self.m, scratch, out=scratch)
         scratch *= np.float32(rate * float(np.sqrt(1 - 0.99**self.t)) / (1 - 0.9**self.t))
         self.flat -= scratch
-        return h_end
+        grad[:], self.seen = 0, 0
 
 
-def lay_out(docs: list[np.ndarray], lanes: int = LANES):
+def lay_out(docs: list[np.ndarray], begin: int, lanes: int = LANES):
     """Documents side by side: (inputs, targets, live, fresh) of steps x lanes, and each one's place.
 
+    begin is the input that stands for a document's begin.
+
     The longest go first, each to the shortest lane, so lanes end at about the same step.
     """
     total, longest = sum(map(len, docs)), max(map(len, docs))
@@ -284,7 +313,7 @@ def lay_out(docs: list[np.ndarray], lanes: int = LANES):
         k, at = column[where[d][0]], where[d][1]
         where[d] = k, at
         y[k, at : at + len(ids)] = ids
-        x[k, at] = FREQUENT + OTHER
+        x[k, at] = begin
         x[k, at + 1 : at + len(ids)] = ids[:-1]
         fresh[k, at] = True
         live[k, at : at + len(ids)] = True
@@ -293,7 +322,7 @@ def lay_out(docs: list[np.ndarray], lanes: int = LANES):
 
 
 def _windows(widths: np.ndarray):
-    """(first step, end, lanes) of windows; where few lanes are left a window has more steps, up to LANES * STEPS tokens."""
+    """(first step, end, lanes) of scoring windows; where few lanes are left one has more steps, up to LANES * STEPS tokens."""
     at = 0
     while at < len(widths):
         n = int(widths[at])
@@ -303,21 +332,23 @@ def _windows(widths: np.ndarray):
 
 
 def train(net: Net, docs: list[np.ndarray], rate: float = RATE) -> None:
-    if not docs:
+    """Train on documents in spans of SPAN tokens, by windows of STEPS steps."""
+    spans = [d[a : a + SPAN] for d in docs for a in range(0, len(d), SPAN)]
+    if not spans:
         return
-    x, y, live, fresh, _, widths = lay_out(docs)
+    x, y, live, fresh, _, widths = lay_out(spans, net.frequent + OTHER)
     h = np.zeros((x.shape[1], HIDDEN), np.float32)
-    for a, b, n in _windows(widths):
-        # The last windows hold few, long documents; steps shrink with their tokens, or these would decide.
-        step = rate * min(1.0, int(widths[a:b].sum()) / (STEPS * max(int(widths[0]), 64)))
-        h[:n] = net.train_window(x[a:b, :n], y[a:b, :n], live[a:b, :n], fresh[a:b, :n], h[:n], step)
+    for a in range(0, len(widths), STEPS):
+        b, n = min(len(widths), a + STEPS), int(widths[a])
+        h[:n] = net.train_window(x[a:b, :n], y[a:b, :n], live[a:b, :n], fresh[a:b, :n], h[:n], rate)
+    net.descend(rate)
 
 
 def score_docs(net: Net, docs: list[np.ndarray]) -> np.ndarray:
     """Log10 of the network's part of each document's probability."""
     if not docs:
         return np.empty(0)
-    x, y, live, fresh, where, widths = lay_out(docs)
+    x, y, live, fresh, where, widths = lay_out(docs, net.frequent + OTHER)
     h, out = np.zeros((x.shape[1], HIDDEN), np.float32), np.zeros(x.shape, np.float32)
     for a, b, n in _windows(widths):
         states, h[:n], _ = net.forward(x[a:b, :n], fresh[a:b, :n], h[:n])
@@ -342,11 +373,11 @@ class _Coder:
     """Words to network ids; classes of dictionary words are worked out once."""
 
     def __init__(self, voc: Vocabulary):
-        self.voc = voc
+        self.voc, self.frequent = voc, voc.frequent
         ids = np.arange(len(voc.words), dtype=np.int32)
         for k, w in enumerate(voc.words):
-            if k >= FREQUENT:
-                ids[k] = FREQUENT + other_class(w)
+            if k >= self.frequent:
+                ids[k] = self.frequent + other_class(w)
         self.ids = np.concatenate([ids, [0]]).astype(np.int32)
 
     def __call__(self, words: list[bytes]):
@@ -355,7 +386,7 @@ class _Coder:
         ids = self.ids[n]
         rest = np.flatnonzero(n < 0)
         if len(rest):
-            ids[rest] = [FREQUENT + other_class(words[k]) for k in rest.tolist()]
+            ids[rest] = [self.frequent + other_class(words[k]) for k in rest.tolist()]
         return n, ids
 
 
@@ -380,18 +411,37 @@ def count_words(texts: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.groupBy("word").agg(F.first("cls").alias("cls"), F.sum("n").alias("c"))
 
 
+def _most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """About `most` words (word, c) of the highest counts, never more by more than chance, found without a sort.
+
+    A histogram with eight steps to a power of two tells the step where they end; of its words a share
+    drawn by hash fills up.
+    """
+    step = F.floor(F.log2("c") * 8).cast("int")
+    left, last, share = most, 0, 1.0
+    for last, n in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # 8 rows to a power of two
+        if n >= left:
+            share = 0.99 * left / n if n > left else 1.0
+            break
+        left -= n
+    drawn = F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(share * (1 << 20))
+    return counts.where((step > last) | (step == last) & drawn)
+
+
 def learn_counts(training: DataFrame, text_col: str = "text") -> tuple[DataFrame, Vocabulary]:
     """The table of all counts, and the bounded part that workers hold."""
     counts = stage(count_words(training, text_col), "word-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.where(F.length("word") <= LONGEST).orderBy(F.desc("c"), "word").limit(KEEP).select("word", "c").toArrow()
-    words = {w: k for k, w in enumerate(top.column(0).to_pylist())}
-    c = np.asarray(top.column(1).combine_chunks(), np.float64) if top.num_rows else np.empty(0)
+    most = max(KEEP, frequent(distinct))
+    short = counts.where(F.length("word") <= LONGEST).select("word", "c")
+    top = sorted(zip(*(c.to_pylist() for c in _most_frequent(short, most).toArrow().columns), strict=True), key=lambda x: (-x[1], x[0]))
+    words = {w: k for k, (w, _) in enumerate(top)}
+    c = np.array([n for _, n in top], np.float64)
     of, kinds = np.zeros(OTHER), np.zeros(OTHER)
     for cls, n, d in counts.groupBy("cls").agg(F.sum("c"), F.count(F.lit(1))).collect():  # OTHER rows
         of[cls], kinds[cls] = n, d
     for w, k in words.items():
-        if k < FREQUENT:
+        if k < frequent(distinct):
             of[other_class(w)] -= c[k]
             kinds[other_class(w)] -= 1
     return counts, Vocabulary(words, np.log10(c + 0.5), np.log10(of + 0.5 * (kinds + 1)), int(total), int(distinct))
@@ -400,7 +450,7 @@ def learn_counts(training: DataFrame, text_col: str = "text") -> tuple[DataFrame
 def code(rows: DataFrame, voc, text_col: str = "text") -> DataFrame:
     """rows with CODED in the text's place: what the counts alone give, words out of the dictionary, and network ids.
 
-    base_part and score_part are sums of log10 over dictionary words; ids are 16-bit.
+    base_part and score_part are sums of log10 over dictionary words; ids are 32-bit.
     """
     at, schema = rows.columns.index(text_col), rows.drop(text_col).schema
     for c, kind in CODED:
@@ -415,12 +465,12 @@ def code(rows: DataFrame, voc, text_col: str = "text") -> DataFrame:
                 for x in texts_of(b.column(at)):
                     words = tokens(x)
                     n, ids = coder(words)
-                    known, other = n >= 0, ids >= FREQUENT
+                    known, other = n >= 0, ids >= coder.frequent
                     logs = v.log_count[n[known]]
                     # A word of a class of others has its smoothed share of the class's training tokens.
-                    part = logs[other[known]].sum() - v.class_words[ids[other] - FREQUENT].sum()
+                    part = logs[other[known]].sum() - v.class_words[ids[other] - coder.frequent].sum()
                     rare = b" ".join([words[k] for k in np.flatnonzero(~known).tolist()])
-                    out.append((len(words), int(known.sum()), float(logs.sum()), float(part), rare, ids.astype(np.int16).tobytes()))
+                    out.append((len(words), int(known.sum()), float(logs.sum()), float(part), rare, ids.tobytes()))
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary())
                 heads = [c for k, c in enumerate(b.columns) if k != at]
                 yield pa.RecordBatch.from_arrays([*heads, *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], names=schema.names)
@@ -435,7 +485,7 @@ def _pools(batches, column: int):
     """Lists of (batch, ids of its texts), about POOL tokens at a time."""
     pool, size = [], 0
     for b in batches:
-        pool.append((b, [np.frombuffer(x.as_buffer(), np.int16) for x in b.column(column)]))
+        pool.append((b, [np.frombuffer(x.as_buffer(), np.int32) for x in b.column(column)]))
         size += sum(map(len, pool[-1][1]))
         if size >= POOL:
             yield pool
@@ -444,50 +494,84 @@ def _pools(batches, column: int):
         yield pool
 
 
-def _train_partition(flat, rate):
+def _train_shards(frequent: int, flat, rate: float):
+    """(part, tokens, vector): sums of parameters times tokens over the shards of a partition; shards lie together."""
+
     def run(batches):
-        net, seen = Net(flat.value), 0
-        for pool in _pools(batches, 0):
-            docs = [d for _, ids in pool for d in ids]
-            train(net, docs, rate)
-            seen += sum(map(len, docs))
-        if seen:
-            n = len(net.flat)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(net.flat.astype(np.float64) * seen), pa.array(np.full(n, float(seen)))], names=["i", "wx", "w"])
+        def trained(docs):
+            net = Net(frequent, flat.value)
+            for a, b in itertools.pairwise([0, *_cuts(docs), len(docs)]):
+                train(net, docs[a:b], rate)
+            n = sum(map(len, docs))
+            return n, net.flat.astype(np.float64) * n
+
+        sums: dict[int, list] = {}
+
+        def done():
+            if docs:
+                n, v = trained(docs)
+                old = sums.setdefault(shard % GROUPS, [0, 0.0])
+                old[0], old[1] = old[0] + n, old[1] + v
+
+        shard, docs = None, []
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if k != shard:
+                    done()
+                    shard, docs = k, []
+                docs.append(np.frombuffer(x.as_buffer(), np.int32))
+        done()
+        for part, (n, v) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), longs([n]), pa.array([v.tobytes()], pa.binary())], names=["part", "tokens", "vector"])
 
     return run
 
 
-def _averaged(coded: DataFrame, flat: np.ndarray, rate: float) -> np.ndarray:
-    """Parameters after every partition of coded texts has trained a copy, averaged by tokens."""
-    at = coded.sparkSession.sparkContext.broadcast(flat)
-    rows = coded.select("ids").mapInArrow(_train_partition(at, rate), "i int, wx double, w double")
-    found = rows.groupBy("i").agg((F.sum("wx") / F.sum("w")).alias("p")).toArrow()  # one row per parameter
-    out = flat.copy()
-    if found.num_rows:
-        out[np.asarray(found.column(0).combine_chunks())] = np.asarray(found.column(1).combine_chunks())
-    return out
+def _cuts(docs: list[np.ndarray]) -> list[int]:
+    """Places in docs after every POOL tokens or so."""
+    done = np.cumsum([len(d) for d in docs]) // POOL
+    return (np.flatnonzero(np.diff(done)) + 1).tolist()
+
 
+def _added(key, table):
+    total = sum(np.frombuffer(x.as_buffer(), np.float64) for x in table.column("vector"))
+    return pa.table({"tokens": longs([sum(table.column("tokens").to_pylist())]), "vector": pa.array([total.tobytes()], pa.binary())})
 
-def learn(training: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
-    """The network's parameters after the start and all rounds over coded training texts with their `row`."""
-    drawn = training.withColumn("draw", F.xxhash64("row"))
+
+def _averaged(coded: DataFrame, frequent: int, flat: np.ndarray, rate: float, shards: int) -> np.ndarray:
+    """Parameters after every shard of coded texts has trained a copy, averaged by tokens."""
+    at = coded.sparkSession.sparkContext.broadcast(flat)
+    dealt = coded.select("shard", "draw", "ids").repartition(shards, "shard").sortWithinPartitions("shard", "draw", "ids").select("shard", "ids")
+    rows = dealt.mapInArrow(_train_shards(frequent, at, rate), "part int, tokens long, vector binary")
+    found = rows.groupBy("part").applyInArrow(_added, "tokens long, vector binary").toArrow()  # GROUPS rows at most
+    tokens = sum(found.column(0).to_pylist())
+    if not tokens:
+        return flat
+    order = sorted((x.as_buffer().to_pybytes() for x in found.column(1)))  # sums that don't depend on the order of arrival
+    return (sum(np.frombuffer(x, np.float64) for x in order) / tokens).astype(np.float32)
+
+
+def learn(training: DataFrame, voc: Vocabulary, tokens: int, rounds: int = ROUNDS) -> np.ndarray:
+    """The network's parameters after the start and all rounds over coded training texts (id, ids)."""
+    shards = max(1, math.isqrt(max(0, tokens) // SHARD))
+    drawn = training.select(F.xxhash64(F.col("id").cast("string"), "ids").alias("draw"), "ids")
     # About twice WARM rows pass the filter, so the one task that orders them holds no more.
     few = drawn.where(F.pmod("draw", F.lit(max(1, training.count()))) < 2 * WARM)
-    flat = _averaged(few.orderBy("draw", "row").limit(WARM).coalesce(1), start(voc), RATE)
+    flat = _averaged(few.orderBy("draw", "ids").limit(WARM).withColumn("shard", F.lit(0)), voc.frequent, start(voc), RATE, 1)
+    place = drawn.withColumn("shard", F.pmod(F.shiftright("draw", 8), F.lit(shards)).cast("int"))
     for r in range(rounds):
-        part = drawn.where(F.pmod("draw", F.lit(rounds)) == r)
-        flat = _averaged(by_length(part), flat, RATE / (2 + r))
+        part = place.where(F.pmod(F.shiftright("draw", 40), F.lit(rounds)) == r)
+        flat = _averaged(part, voc.frequent, flat, RATE / (2 + r), shards)
     return flat
 
 
-def network_scores(coded: DataFrame, flat) -> DataFrame:
+def network_scores(coded: DataFrame, frequent: int, flat) -> DataFrame:
     """coded without ids, with the network's part of each text's log10 probability added to score_part."""
     at, schema = coded.columns.index("ids"), coded.drop("ids").schema
     part = schema.names.index("score_part")
 
     def run(batches):
-        net = Net(flat.value)
+        net = Net(frequent, flat.value)
         for pool in _pools(batches, at):
             found, done = score_docs(net, [d for _, ids in pool for d in ids]), 0
             for b, ids in pool:
@@ -502,21 +586,22 @@ def network_scores(coded: DataFrame, flat) -> DataFrame:
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
-    Null and empty texts are an end alone; an empty table gives an empty result, and a table without
-    training rows gives scores under no counts. Repeated rows are scored one by one.
+    Null and empty texts are an end alone; long texts are scored whole. An empty table gives an empty
+    result, and a table without training rows gives scores under no counts. Repeated rows are scored one
+    by one, alike; a null id is training data. Other columns of docs aren't read, whatever they are called.
     """
     spark = docs.sparkSession
-    rows = docs.select(id_col, held_out(F.col(id_col)).alias("held_out"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
     counts, voc = learn_counts(rows.where("not held_out"))
     coded = stage(code(rows, spark.sparkContext.broadcast(voc)), "coded-texts")
-    flat = spark.sparkContext.broadcast(learn(coded.where("not held_out"), voc))
-    scored = network_scores(coded.drop("rare"), flat)
+    flat = spark.sparkContext.broadcast(learn(coded.where("not held_out"), voc, voc.total))
+    scored = network_scores(coded.drop("rare"), voc.frequent, flat)
     words = coded.where(F.length("rare") > 0).select("row", F.explode(F.split(F.col("rare").cast("string"), " ")).alias("word"))
     found = words.join(counts.select(F.col("word").cast("string").alias("word"), "c"), "word", "left")
     sums = found.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("logs"), F.count("c").alias("n_rare"))
     out = scored.join(sums, "row", "left").withColumn("logs", F.coalesce("logs", F.lit(0.0)))
     size = float(np.log10(voc.total + 0.5 * (voc.distinct + 1)))
     return out.select(
-        id_col, "held_out", "n_tokens", (F.col("n_dict") + F.coalesce("n_rare", F.lit(0))).alias("n_known"), F.lit(voc.total).cast("long").alias("train_tokens"),
+        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_dict") + F.coalesce("n_rare", F.lit(0))).alias("n_known"), F.lit(voc.total).cast("long").alias("train_tokens"),
         (F.col("base_part") + F.col("logs") - F.col("n_tokens") * F.lit(size)).alias("base_score"), (F.col("score_part") + F.col("logs")).alias("score"),
     )
