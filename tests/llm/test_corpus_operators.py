@@ -235,23 +235,57 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert {tuple(x) for x in cover_tree.top_k(spark.createDataFrame(huge, "vec_id long, embedding array<double>")).collect()} == {(0, 1, 2, (1 << 63) - 1), (0, 2, 1, -65536000000000)}
 
 
-def test_trees_cover_their_members():
-    x = np.random.default_rng(1).normal(size=(900, 6))
-
-    def members(n):
-        own = np.concatenate([n.members, *(members(c) for c in n.children)]) if n.children else n.members
-        assert (np.sqrt(((x[own.astype(int)] - n.centre) ** 2).sum(axis=1)) <= n.radius * (1 + 1e-9) + 1e-12).all()
-        return own
-
-    assert sorted(members(cover_tree.build(x)).astype(int).tolist()) == list(range(900))
-    # Clustered data is pruned: fewer leaf pairs are scored than there are.
-    y = np.concatenate([np.random.default_rng(k).normal(k * 50, 1, (200, 6)) for k in range(8)])
-    s = cover_tree._Search(y[-100:], np.arange(1500, 1600), y, np.arange(len(y)), 5)
-    n = [0]
-    leaf = s.leaf
-    s.leaf = lambda a, b: (n.__setitem__(0, n[0] + len(a) * len(b)), leaf(a, b))
-    s.walk(cover_tree.build(y[-100:]), cover_tree.build(y))
-    assert n[0] < 0.5 * 100 * len(y)
+def test_huge_components_take_no_part(spark):
+    rows = [(0, [1.0, 1e307]), (50, [1.0, 2.0]), (1, [3.0, 4.0])]
+    got = cover_tree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [tuple(x) for x in got] == [(50, 1, 1, 65536 * 11)]
+
+
+def clustered(n, d, seed=1):
+    r = np.random.default_rng(seed)
+    return np.floor(np.concatenate([r.normal(r.normal(0, 4000, d), 40, (n // 8, d)) for _ in range(8)]))
+
+
+@pytest.mark.parametrize("kind", ["uniform", "clustered", "embeddings", "equal", "line"])
+def test_cover_tree_invariants(spark, kind):
+    r = np.random.default_rng(1)
+    if kind == "embeddings":
+        x = np.floor(256 * np.array([v for (v,) in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("embedding").collect()], float))
+    else:
+        x = {"uniform": np.floor(r.normal(0, 900, (700, 3))), "clustered": clustered(800, 6), "equal": np.ones((200, 3)), "line": np.arange(300.0)[:, None] * [1.0, 2.0]}[kind]
+    root = cover_tree.build(x)
+    dist = lambda a, b: float(np.sqrt(((x[a] - x[b]) ** 2).sum()))
+    assert sorted(root.rows.tolist()) == list(range(len(x)))
+    scale, level, nodes = root.radius, [root], 0
+    while level:
+        nodes += len(level)
+        for node in level:  # covering: all rows within the radius, and children are a partition that holds the centre
+            assert (np.sqrt(((x[node.rows] - x[node.centre]) ** 2).sum(axis=1)) <= node.radius * (1 + 1e-9) + 1e-9).all()
+            if node.children:
+                assert sorted(np.concatenate([c.rows for c in node.children]).tolist()) == sorted(node.rows.tolist())
+                assert node.centre in [c.centre for c in node.children]  # nesting
+                apart = [dist(a.centre, b.centre) for i, a in enumerate(node.children) for b in node.children[:i]]
+                reach = max(dist(c.centre, node.centre) for c in node.children)
+                assert min(apart) > reach / 4  # separation: siblings of a level are further apart than its scale
+        level = [c for node in level for c in node.children]
+    assert nodes > 1 or kind in ("equal", "embeddings")
+
+
+def test_clustered_data_is_pruned(spark, monkeypatch):
+    y = clustered(1600, 6)
+    tree = cover_tree.build(y)
+    rows = np.random.default_rng(3).permutation(1600)[:100]
+    scores, who, scored = cover_tree.search_block(y[rows], rows, np.full(100, -np.inf), y, np.arange(1600), tree)
+    assert scored < 0.5 * 100 * 1600
+    for i, s, w in zip(rows.tolist(), scores, who, strict=True):
+        p = y @ y[i]
+        p[i] = -np.inf
+        best = np.lexsort((np.arange(1600), -p))[:5]
+        assert (w, s) == (best.tolist(), p[best].astype(int).tolist())
+    monkeypatch.setattr(cover_tree, "BLOCK", 200)
+    df = spark.createDataFrame([(k, [float(v) / 256 for v in row]) for k, row in enumerate(y)], "vec_id long, embedding array<double>")
+    every, reached, scored = cover_tree.report(df)
+    assert every == 32 * 1600 and scored < reached < 0.6 * every
 
 
 # Suffix dedup
