@@ -13,7 +13,8 @@ pair goes once that is below the worst kth score of the query node. Leaves are s
 A cover tree has levels of halving scale: centres of a level are vectors, further apart than its scale;
 every centre is one on all lower levels (nesting) and lies within the scale of its parent's level
 (covering). Where vectors have no clusters, as uniform ones of many dimensions, nothing can be pruned and
-a tree has one level: the search is then an exact comparison in blocks. report() gives the share.
+a tree has little but a root and leaves: the search is then an exact comparison in blocks. report() gives
+the share of pairs that were pruned.
 """
 
 from __future__ import annotations
@@ -28,9 +29,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from loamcast.llm.common import longs, stage
 
 SCALE, TOP, EVERY = 256, 5, 50
-#: Vectors of a block of candidates and of a group of queries, about; vectors that a leaf holds at most,
-#: unless they are all apart or all equal.
-BLOCK, QUERIES, LEAF = 4096, 1024, 32
+#: Vectors of a block of candidates and of a group of queries, about; vectors of a leaf, about: of more siblings
+#: small ones are put together with their nearest, so that a pair of leaves is worth a product of matrices.
+#: A node of FEW vectors is a leaf.
+BLOCK, QUERIES, LEAF, FEW = 4096, 1024, 64, 8
 #: Pivots at most, and vectors of the sample for each.
 PIVOTS, SAMPLE = 1024, 16
 _EXACT = float(1 << 52)
@@ -92,12 +94,29 @@ def build(x: np.ndarray) -> Node:
                 below[c] = v[0]._replace(level=up + 1)
                 continue
             rows = np.concatenate([k.rows for k in v])
-            single = all(len(k.rows) == 1 for k in v)
-            below[c] = Node(c, _reach(x, c, rows), up + 1, rows, () if single or len(rows) <= LEAF else tuple(v))
+            few = len(rows) <= LEAF and (len(rows) <= FEW or all(len(k.rows) == 1 for k in v))
+            below[c] = Node(c, _reach(x, c, rows), up + 1, rows, () if few else _leaves(x, v))
     (root,) = below.values()
     return root
 
 
+def _leaves(x: np.ndarray, kids: list[Node]) -> tuple[Node, ...]:
+    """The children; where they are more than LEAF, those of few rows together with their nearest, LEAF rows a leaf."""
+    if len(kids) <= LEAF:
+        return tuple(kids)
+    small = [k for k in kids if len(k.rows) <= LEAF // 2]
+    out = [k for k in kids if len(k.rows) > LEAF // 2]
+    at, sizes = np.array([k.centre for k in small], np.int64), np.array([len(k.rows) for k in small], np.int64)
+    while len(at):
+        order = np.argsort(((x[at] - x[at[0]]) ** 2).sum(axis=1), kind="stable")
+        take = order[: max(1, int(np.searchsorted(np.cumsum(sizes[order]), LEAF, side="right")))]
+        rows = np.concatenate([small[k].rows for k in take.tolist()])
+        out.append(Node(int(at[0]), _reach(x, int(at[0]), rows), small[0].level, rows, ()))
+        rest = np.setdiff1d(np.arange(len(at)), take)
+        small, at, sizes = [small[k] for k in rest.tolist()], at[rest], sizes[rest]
+    return tuple(out) if len(out) > 1 else ()
+
+
 def _reach(x: np.ndarray, centre: int, rows: np.ndarray) -> float:
     return float(np.sqrt(((x[rows] - x[centre]) ** 2).sum(axis=1)).max()) * (1 + 1e-9)
 
@@ -146,16 +165,16 @@ class _Search:
     def walk(self, a: Node, b: Node) -> None:
         if self.bounds(a, [b])[0] < self.least(a.rows).min():
             return
-        if not a.children and not b.children:
+        if a.children:  # queries part first, so that each group meets its own most promising nodes first
+            for c in a.children:
+                self.walk(c, b)
+        elif not b.children:
             self.leaf(a.rows, b.rows)
-        elif not a.children or (b.children and b.radius >= a.radius):
+        else:
             found = self.bounds(a, b.children)
             for k in np.argsort(-found, kind="stable").tolist():  # the most promising first
                 if not found[k] < self.least(a.rows).min():
                     self.walk(a, b.children[k])
-        else:
-            for c in a.children:
-                self.walk(c, b)
 
 
 def _plain(q, qid, x, xid, k):
