@@ -70,6 +70,22 @@ def restored(df: DataFrame, names: list[str], *more: str) -> DataFrame:
     return df.select(*(f"c{k}" for k in range(len(names))), *more).toDF(*names, *more)
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df, or its stage table where its rows could come in another order when they are computed again.
+
+    Files and given rows are read alike each time; what comes out of a shuffle isn't, so row numbers over
+    it must not be computed twice.
+    """
+    left = [df._jdf.queryExecution().optimizedPlan()]
+    while left:
+        node = left.pop()
+        if node.nodeName() not in ("Project", "Filter") and not node.nodeName().startswith(("LogicalRelation", "Relation", "LocalRelation", "LogicalRDD", "Scan ExistingRDD")):
+            return stage(df, name)
+        kids = node.children()
+        left += [kids.apply(k) for k in range(kids.size())]
+    return df
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back."""
     out = StageTable(df, name).df

@@ -17,7 +17,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loamcast.llm.common import numbered, restored, stage, unused, word_count
+from loamcast.llm.common import numbered, restored, settled, stage, unused, word_count
 
 WEIGHTS, SHARE, CAP, SEED = (5, 2, 1), 1.5, 2.0, "mix-1"
 #: Buckets per unit of key, coarse and fine.
@@ -102,6 +102,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     Rows that repeat an id share its draw; equal keys are told apart by the rows' order. An empty table
     gives an empty result.
     """
+    docs = settled(docs, "documents")
     rows = numbered(docs)
     at = lambda name: rows.columns[docs.columns.index(name)]
     own = [c.alias(n) for c, n in ((size, "given_size"), (quality, "given_quality")) if c is not None]

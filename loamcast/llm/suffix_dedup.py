@@ -10,10 +10,11 @@ share one, so a bucket entry is an anchor with the run of windows that it serves
 2. Entries meet by gram hash. Of equal contexts (two 64-bit hashes agree) all but the earliest are
    marked whole; a first entry whose gram also has other contexts becomes a candidate.
 3. Candidates' contexts are fetched from the texts, and a bucket's suffixes are sorted deep-shallow:
-   multikey quicksort on 8-byte words to a depth of SHALLOW bytes, then blind tries, which look only at
-   the bytes where a group branches, order the groups with long common prefixes. Suffixes that agree on
-   WINDOW bytes end up together, and all but the earliest are marked. A gram with more than HOT
-   contexts is dealt anew by the windows' own hashes, so no bucket gathers it.
+   three-way multikey quicksort on 8-byte words to a depth of SHALLOW bytes, then blind tries for the
+   groups that are equal so far, which compare a suffix with one other and keep branching bytes alone.
+   Suffixes that agree on WINDOW bytes end up together, and all but the earliest are marked. A gram with more than HOT
+   contexts is dealt anew by the windows' own hashes, and of a window that many contexts share a task
+   holds a few at a time.
 4. Marks meet their documents, and covered bytes are cut.
 """
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from loamcast.llm.common import longs, release, stage, texts_of
+from loamcast.llm.common import longs, release, settled, stage, texts_of
 
 WINDOW, GRAM, SHALLOW, HOT = 100, 32, 24, 4096
 #: Bytes of text that a task works on at once; documents beyond it go in overlapping segments.
@@ -158,74 +159,130 @@ def _words(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(buf, 8)[at].view(">u8").ravel().astype(np.uint64)
 
 
-def _split(group: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order that sorts each group by key, and new group numbers in that order."""
-    order = np.lexsort((key, group))
-    g, k = group[order], key[order]
-    return order, np.cumsum(np.concatenate([[0], (g[1:] != g[:-1]) | (k[1:] != k[:-1])]))
+def _starts(seg: np.ndarray) -> np.ndarray:
+    """Where each run of a sorted segment number begins."""
+    return np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]])) if len(seg) else np.empty(0, np.int64)
 
 
-def _crowd(group: np.ndarray) -> np.ndarray:
-    """Where a sorted group number occurs more than once."""
-    same = group[1:] == group[:-1]
+def _several(seg: np.ndarray) -> np.ndarray:
+    """Whether each place's segment has more than one member."""
+    same = seg[1:] == seg[:-1]
     return np.concatenate([same, [False]]) | np.concatenate([[False], same])
 
 
-def equal_suffixes(buf: np.ndarray, at: np.ndarray, bucket: np.ndarray, window: int = WINDOW, shallow: int = SHALLOW):
-    """(suffix numbers, class numbers) of suffixes that share bucket and `window` bytes with others.
+def multikey_quicksort(buf: np.ndarray, at: np.ndarray, bucket: np.ndarray, depth: int):
+    """(suffix numbers, group numbers) of suffixes that share bucket and `depth` bytes with others, sorted by these.
 
-    Deep-shallow: words of 8 bytes refine all groups to the shallow depth; then each round of the blind
-    tries finds a group's branching byte (the least common prefix with its first member), which splits
-    the group, until a group agrees on all bytes or has one member.
+    Three-way multikey quicksort on words of 8 bytes (depth is a multiple), all segments side by side: a
+    segment's middle word is its pivot, smaller words come before it and larger ones behind, and only the
+    members equal to it go on to the next word. Suffixes are moved by counting. Segments of one drop out.
     """
-    if len(at) < 2:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
     who = np.argsort(bucket, kind="stable")
-    group = np.cumsum(np.concatenate([[0], np.diff(bucket[who]) != 0]))
-    for depth in range(0, shallow, 8):
-        many = _crowd(group)
-        who, group = who[many], group[many]
+    seg = np.cumsum(np.concatenate([[0], np.diff(bucket[who]) != 0])) if len(who) else who
+    at_word = np.zeros(len(who), np.int64)  # of every member, its segment's place in bytes
+    done_who, done_seg, base = [], [], 0
+    while len(who):
+        keep = _several(seg)
+        who, seg, at_word = who[keep], seg[keep], at_word[keep]
+        deep = at_word >= depth
+        if deep.any():
+            found = seg[deep]
+            done_who.append(who[deep])
+            done_seg.append(np.cumsum(np.concatenate([[0], np.diff(found) != 0])) + base)
+            base = int(done_seg[-1][-1]) + 1
+            who, seg, at_word = who[~deep], seg[~deep], at_word[~deep]
         if not len(who):
             break
-        order, group = _split(group, _words(buf, at[who] + depth))
-        who = who[order]
+        start = _starts(seg)
+        size = np.diff(np.concatenate([start, [len(seg)]]))
+        key = _words(buf, at[who] + at_word)
+        pivot = np.repeat(key[start + size // 2], size)
+        less, same = key < pivot, key == pivot
+        n_less, n_same = np.add.reduceat(less.astype(np.int64), start), np.add.reduceat(same.astype(np.int64), start)
+        # A member's new place: its segment's start, the parts before its own, and those of its part before it.
+        rank = lambda hit: np.cumsum(hit) - 1 - np.repeat(np.cumsum(hit)[start] - hit[start], size)
+        before, more = np.repeat(start, size), ~(less | same)
+        to = before + np.where(less, rank(less), np.where(same, np.repeat(n_less, size) + rank(same), np.repeat(n_less + n_same, size) + rank(more)))
+        part = np.repeat(np.arange(len(start)), size) * 3 + same + 2 * more
+        new_who, new_seg, new_word = np.empty_like(who), np.empty_like(seg), np.empty_like(at_word)
+        new_who[to], new_seg[to], new_word[to] = who, part, at_word + 8 * same
+        who, seg, at_word = new_who, new_seg, new_word
+    if not done_who:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate(done_who), np.concatenate(done_seg)
+
+
+def _common(buf: np.ndarray, a: np.ndarray, b: np.ndarray, depth: np.ndarray, window: int) -> np.ndarray:
+    """Common bytes (window at most) of suffixes at places a and b that are known to share `depth`."""
+    out, left = np.full(len(a), window), np.arange(len(a))
+    d = depth.copy()
+    while len(left):
+        x = _words(buf, a[left] + d[left]) ^ _words(buf, b[left] + d[left])
+        zero = np.zeros(len(x), np.int64)  # leading bytes that agree
+        for k in range(1, 9):
+            zero += x < np.uint64(1 << (64 - 8 * k)) if k < 8 else x == 0
+        hit = x != 0
+        out[left[hit]] = np.minimum(window, d[left[hit]] + zero[hit])
+        d[left] += 8
+        left = left[~hit & (d[left] < window)]
+    return out
+
+
+def blind_tries(buf: np.ndarray, at: np.ndarray, who: np.ndarray, group: np.ndarray, depth: int, window: int):
+    """(suffix numbers, class numbers) of members of a group (contiguous, sharing `depth` bytes) that share `window` with others.
+
+    A group's blind trie keeps branching places and bytes alone. It grows along its spine, the first
+    member's path: every other member is compared with it once, from the bytes they are known to share,
+    which tells where it leaves the spine. Members that leave at one place by one byte are a subtree, with
+    a spine of its own beyond that place; members that never leave equal the first.
+    """
     found, classes, n = [], [], 0
-    tail = np.arange(shallow, window)
+    known = np.full(len(who), depth)
     while len(who):
-        many = _crowd(group)
-        who, group = who[many], group[many]
+        keep = _several(group)
+        who, group, known = who[keep], group[keep], known[keep]
         if not len(who):
             break
-        head = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        size = np.diff(np.concatenate([head, [len(who)]]))
-        branch = np.empty(len(who), np.int64)
-        step = 1 << 16
-        leader = np.repeat(who[head], size)
-        for a in range(0, len(who), step):
-            x, y = at[who[a : a + step]][:, None] + tail, at[leader[a : a + step]][:, None] + tail
-            differs = buf[x] != buf[y]
-            branch[a : a + step] = np.where(differs.any(axis=1), shallow + differs.argmax(axis=1), window)
-        lcp = np.repeat(np.minimum.reduceat(branch, head), size)
-        done = lcp >= window
-        if done.any():
-            found.append(who[done])
-            ids = np.cumsum(np.concatenate([[0], np.diff(group[done]) != 0]))
-            classes.append(ids + n)
-            n += int(ids[-1]) + 1
-        who, group, lcp = who[~done], group[~done], lcp[~done]
-        if len(who):
-            order, group = _split(group, buf[at[who] + lcp])
-            who = who[order]
+        start = _starts(group)
+        size = np.diff(np.concatenate([start, [len(group)]]))
+        spine = np.repeat(who[start], size)
+        first = np.zeros(len(who), bool)
+        first[start] = True
+        leaves = np.where(first, window, 0)
+        leaves[~first] = _common(buf, at[who[~first]], at[spine[~first]], known[~first], window)
+        stays = leaves >= window
+        some = np.repeat(np.add.reduceat(stays.astype(np.int64), start) > 1, size) & stays
+        if some.any():
+            found.append(who[some])
+            classes.append(np.cumsum(np.concatenate([[0], np.diff(group[some]) != 0])) + n)
+            n = int(classes[-1][-1]) + 1
+        who, group, leaves = who[~stays], group[~stays], leaves[~stays]
+        byte = buf[at[who] + leaves].astype(np.int64)
+        branch = (group * (window + 1) + leaves) * 256 + byte
+        order = np.argsort(branch, kind="stable")
+        who, known, branch = who[order], leaves[order] + 1, branch[order]
+        group = np.cumsum(np.concatenate([[0], np.diff(branch) != 0])) if len(branch) else branch
     return (np.concatenate(found), np.concatenate(classes)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
+def equal_suffixes(buf: np.ndarray, at: np.ndarray, bucket: np.ndarray, window: int = WINDOW, shallow: int = SHALLOW):
+    """(suffix numbers, class numbers) of suffixes that share bucket and `window` bytes with others.
+
+    Deep-shallow sorting: multikey quicksort to the shallow depth, blind tries for what is equal there.
+    """
+    if len(at) < 2:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    who, group = multikey_quicksort(buf, at, bucket, shallow)
+    return blind_tries(buf, at, who, group, shallow, window)
+
+
 MARK = T.StructType().add("row", "long").add("lo", "long").add("hi", "long")
 
 
 def _sort_bucket(rows: list[tuple], window: int):
-    """Marks (row, lo, hi) of a list of whole buckets of (g, did, row, place, first, context)."""
+    """Marks (row, lo, hi) of a list of buckets of (g, did, row, place, first, context), and whether a context has windows without one."""
     size = np.array([len(r[5]) for r in rows], np.int64)
-    buf = np.frombuffer(b"".join(r[5] for r in rows) + bytes(8), np.uint8)
+    buf = np.frombuffer(b"".join(r[5] for r in rows) + bytes(16), np.uint8)
     begin = np.cumsum(size) - size
     wins = size - window + 1
     which = np.repeat(np.arange(len(rows)), wins)
@@ -237,24 +294,37 @@ def _sort_bucket(rows: list[tuple], window: int):
     start = first[which[who]] + within[who]
     order = np.lexsort((start, row[which[who]], did[which[who]], cls))
     later = order[np.concatenate([[False], cls[order][1:] == cls[order][:-1]])] if len(order) else order
-    return _runs(row[which[who[later]]], start[later], start[later])
+    marked = np.bincount(which[who[later]], minlength=len(rows))
+    return _runs(row[which[who[later]]], start[later], start[later]), marked < wins
 
 
 def _sort_buckets(window: int, most: int = 3000):
+    """Marks of buckets that come one after the other, each in order of documents.
+
+    Buckets are sorted together until they have `most` contexts. Of a bucket with more than twice as
+    many, those whose windows all came earlier are let go of in between, so that it is never held whole.
+    """
+
     def run(batches):
-        def flush(rows):
-            r, lo, hi = _sort_bucket(rows, window)
-            return pa.RecordBatch.from_arrays([longs(r), longs(lo), longs(hi)], names=MARK.names)
+        def batch(marks):
+            return pa.RecordBatch.from_arrays([longs(c) for c in marks], names=MARK.names)
 
         rows: list[tuple] = []
+        limit = most
         for b in batches:
             for x in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if len(rows) >= most and x[0] != rows[-1][0]:
-                    yield flush(rows)
-                    rows = []
+                if len(rows) >= most:
+                    if x[0] != rows[-1][0]:
+                        yield batch(_sort_bucket(rows, window)[0])
+                        rows, limit = [], most
+                    elif len(rows) >= 2 * limit:
+                        marks, first = _sort_bucket(rows, window)
+                        yield batch(marks)
+                        rows = [r for r, f in zip(rows, first.tolist(), strict=True) if f and r[0] == x[0]]
+                        limit = max(most, len(rows))
                 rows.append(x)
         if rows:
-            yield flush(rows)
+            yield batch(_sort_bucket(rows, window)[0])
 
     return run
 
@@ -306,7 +376,7 @@ def marks(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = H
     known = known.union(level.where("kind = 0 and rn > 1").select("row", first.alias("lo"), last.alias("hi")))
     wanted = level.where("kind = 0 and rn = 1 and n > 1").groupBy("row").agg(F.collect_list(F.struct("h", "pk", "n")).alias("wanted"))
     contexts = keyed.select("did", "row", "text").join(wanted, "row").select("did", "row", "text", "wanted").mapInArrow(_fetch_contexts(window, hot), CONTEXT)
-    sorted_ = contexts.repartition("g").sortWithinPartitions("g").mapInArrow(_sort_buckets(window), MARK)
+    sorted_ = contexts.repartition("g").sortWithinPartitions("g", "did", "row", "place").mapInArrow(_sort_buckets(window), MARK)
     out = stage(known.union(sorted_), "repeat-marks")
     return out
 
@@ -325,10 +395,12 @@ def cover(size: int, lo: list[int], hi: list[int], window: int) -> list[tuple[in
 def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, hot: int = HOT, kept: bool = True) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept_sha256, kept binary) for every row.
 
-    Documents are ordered by id, null ids last, rows with equal ids as they come. Null texts are empty;
-    texts shorter than the window lose nothing. kept=False leaves the remaining bytes out.
+    Documents are ordered by id, null ids last, rows with equal ids as they come, so of repeated rows the
+    first stays. Null texts are empty; texts shorter than the window lose nothing; long ones are read whole,
+    in overlapping segments. An empty table gives an empty result. Other columns of docs aren't read,
+    whatever they are called. kept=False leaves the remaining bytes out.
     """
-    keyed = docs.select(F.col(id_col), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("did"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    keyed = settled(docs.select(id_col, text_col), "documents").select(F.col(id_col), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("did"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
     found = marks(keyed, window, gram, hot).groupBy("row").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     schema = docs.select(id_col).schema
     for c in ("n_bytes", "n_removed", "n_spans"):

@@ -336,8 +336,8 @@ def test_repeats_of_an_empty_table(spark):
 def test_deep_shallow_classes():
     r = random.Random(3)
     base = bytes(r.choice(b"ab") for _ in range(400))
-    buf = np.frombuffer(base + base[50:300] + b"c" + base[100:260] + bytes(8), np.uint8)
-    at = np.arange(len(buf) - 8 - suffix_dedup.WINDOW + 1)
+    buf = np.frombuffer(base + base[50:300] + b"c" + base[100:260] + bytes(16), np.uint8)
+    at = np.arange(len(buf) - 16 - suffix_dedup.WINDOW + 1)
     who, cls = suffix_dedup.equal_suffixes(buf, at, np.zeros(len(at), np.int64))
     data = buf.tobytes()
     groups = Counter(data[k : k + suffix_dedup.WINDOW] for k in at.tolist())
@@ -345,6 +345,51 @@ def test_deep_shallow_classes():
     assert all(len({data[at[w] : at[w] + suffix_dedup.WINDOW] for w in who[cls == c]}) == 1 for c in set(cls.tolist()))
 
 
+def test_hot_buckets_are_sorted_in_parts():
+    r = random.Random(12)
+    text = lambda n: bytes(r.choice(b"abc") for _ in range(n))
+    shared = [text(100) for _ in range(3)]
+    rows = [(7, k, k, 0, 0, r.choice(shared) if r.random() < 0.9 else text(100)) for k in range(400)] + [(9, k, k, 5, 5, shared[0]) for k in range(50)]
+    import pyarrow as pa
+
+    table = pa.table({n: pa.array([x[k] for x in rows], pa.binary() if n == "ctx" else pa.int64()) for k, n in enumerate(suffix_dedup.CONTEXT.names)})
+    got = {tuple(m) for b in suffix_dedup._sort_buckets(100, most=20)(table.to_batches(30)) for m in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+    seen, want = set(), set()
+    for g, _, row, _, first, ctx in rows:
+        if (g, ctx) in seen:
+            want.add((row, first, first))
+        seen.add((g, ctx))
+    assert got == want
+
+
+def test_multikey_quicksort_sorts_by_the_shallow_depth():
+    r = random.Random(6)
+    data = bytes(r.choice(b"ab\x00\xff") for _ in range(3000)) * 2 + bytes(16)
+    buf, at = np.frombuffer(data, np.uint8), np.arange(5900)
+    bucket = np.array([r.randrange(3) for _ in at], np.int64)
+    who, group = suffix_dedup.multikey_quicksort(buf, at, bucket, 8)
+    key = lambda k: (bucket[k], data[k : k + 8])
+    n = Counter(map(key, at.tolist()))
+    assert Counter(map(key, who.tolist())) == {k: v for k, v in n.items() if v > 1}
+    assert len({(g, key(k)) for g, k in zip(group.tolist(), who.tolist(), strict=True)}) == len(set(group.tolist())) == sum(v > 1 for v in n.values())
+    assert all(len(set(group[i : i + 2].tolist())) == 1 or key(who[i]) != key(who[i + 1]) for i in range(len(who) - 1))
+
+
+def test_blind_tries_branch_where_members_differ():
+    r = random.Random(8)
+    head = bytes(r.choice(b"xyz") for _ in range(100))
+    texts = [head]
+    for k in (24, 31, 32, 33, 63, 64, 95, 96, 98, 99) * 3:
+        t = bytearray(r.choice(texts))
+        t[k] = r.choice(b"pqr")
+        texts += [bytes(t)] * r.randint(1, 3)
+    buf = np.frombuffer(b"".join(texts) + bytes(16), np.uint8)
+    at, who = np.arange(len(texts)) * 100, np.arange(len(texts))
+    found, cls = suffix_dedup.blind_tries(buf, at, who, np.zeros(len(who), np.int64), 24, 100)
+    want = {t: [k for k, x in enumerate(texts) if x == t] for t in texts if texts.count(t) > 1}
+    assert sorted(sorted(found[cls == c].tolist()) for c in set(cls.tolist())) == sorted(want.values())
+
+
 # Pipeline
 
 
