@@ -27,8 +27,11 @@ VERSION = b"WARC/1.1\r\n"
 _MAGIC = b"\x1f\x8b\x08"
 _EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
-#: Records of one archive at most, which bounds what a reading task holds.
-RECORDS = 4096
+#: Records of one archive at most, and bytes of its members (compressed; one may go beyond), which bounds what a
+#: reading task holds.
+RECORDS, ARCHIVE = 4096, 128 << 20
+#: Pieces that the rows of one payload are dealt into, so that a frequent one, as the empty, is no one task's.
+SALT = 16
 FIELDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload string"
 
 
@@ -87,25 +90,31 @@ def _parse(data: bytes, at: int) -> tuple[dict, int] | None:
     return out, end + 4
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int] | None:
-    """The gzip member that starts at `at` and its end, checksum verified; None where it is damaged.
+def _member(data: bytes, at: int) -> tuple[bytes, int | None]:
+    """What the gzip member that starts at `at` inflates to, and its end; of a damaged or torn one what comes
+    before the damage, and None.
 
     It is fed piece by piece, so that a member's cost doesn't depend on what follows it.
     """
     d, parts, size, view = zlib.decompressobj(wbits=31), [], 1 << 16, memoryview(data)
     to = at
-    try:
-        while not d.eof and to < len(data):
+    while not d.eof and to < len(data):
+        before = d.copy()
+        try:
             parts.append(d.decompress(view[to : to + size]))
-            to = min(len(data), to + size)
-            size *= 2
-    except zlib.error:
-        return None
-    return (b"".join(parts), to - len(d.unused_data)) if d.eof else None
+        except zlib.error:
+            if size == 1:
+                break
+            # Bytes before the damage may still give something.
+            d, size = before, max(1, size // 64)
+            continue
+        to = min(len(data), to + size)
+        size = size * 2 if size >= 1 << 16 else size
+    return b"".join(parts), to - len(d.unused_data) if d.eof else None
 
 
 def _inner(plain: bytes) -> tuple[list[dict], bool]:
-    """The valid records of a member's bytes, and whether all its bytes are theirs."""
+    """The valid records of a member's bytes, searched for by version lines, and whether all its bytes are theirs."""
     out, pos, whole = [], 0, True
     while pos < len(plain):
         if r := _parse(plain, pos):
@@ -123,16 +132,23 @@ def salvage(data: bytes) -> Iterator[tuple[str, object]]:
 
     Takes plain and gzip archives, mixed too. Empty members and stray line ends between records
     are no gaps. A member that holds other bytes beside valid records is a gap itself, as its bad range
-    has no place of its own in the archive; its records are yielded all the same.
+    has no place of its own in the archive; its records are yielded all the same, and so are the valid
+    records before the damage of a member that is torn or fails its checksum. Empty data yields nothing.
     """
     at, bad, n = 0, None, len(data)
     while at < n:
         got = None
         if data.startswith(_MAGIC, at):
-            if (m := _member(data, at)) is not None:
-                inner, whole = _inner(m[0])
-                if inner or whole:
-                    got = inner, m[1], whole
+            plain, end = _member(data, at)
+            inner, whole = _inner(plain)
+            if end is None:
+                if inner and bad is not None:
+                    yield "gap", (bad, at)
+                    bad = at
+                for x in inner:
+                    yield "record", x
+            elif inner or whole:
+                got = inner, end, whole
         elif data.startswith(b"WARC/1.", at):
             if r := _parse(data, at):
                 got = [r[0]], r[1], True
@@ -167,34 +183,46 @@ def plan_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     slim = slim.withColumn("__digest", F.unhex(F.sha1("payload"))).withColumn("__size", F.length("payload"))
     # Only payloads that occur more than once are looked up, so the joined side stays small.
     repeated = slim.where(F.col("__size") >= least).groupBy("__digest", "__size").agg(F.max("page_id").alias("response_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    repeated = stage(repeated.drop("n"), "repeated-payloads")
-    return slim.join(repeated, ["__digest", "__size"], "left").select("page_id", "url", "payload", "response_id")
+    repeated = stage(repeated.drop("n"), "repeated-payloads").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    dealt = slim.withColumn("__salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int"))
+    return dealt.join(repeated, ["__digest", "__size", "__salt"], "left").select("page_id", "url", "payload", "response_id")
+
 
+def write(pages: DataFrame, path: str | None = None, least: int = 0, records: int = RECORDS, archive: int = ARCHIVE) -> str:
+    """Write the archives and return their folder. Equal payloads of `least` bytes or more are kept once.
 
-def write(pages: DataFrame, path: str | None = None, least: int = 0, records: int = RECORDS) -> str:
-    """Write the archives and return their folder. Equal payloads of `least` bytes or more are kept once."""
+    A null html is an empty payload, a null url gives no target header, a null page_id an id of its own.
+    Long payloads are one record each; repeated rows, a record each. An empty table gives a folder without
+    records. Columns of pages other than these three aren't read.
+    """
     path = path or new_path(pages.sparkSession, "warc")
     planned = plan_revisits(pages, least)
 
     def run(batches):
+        size = 0
         for b in batches:
-            out = []
+            out, piece = [], []
             for page, url, payload, response in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b.column(2)), b.column(3).to_pylist(), strict=True):
                 again = response is not None and response != page
                 out.append(gzip.compress(record(page, url, payload, response, again), 6, mtime=0))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
+                piece.append(size // archive)
+                size += len(out[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(piece, pa.int32())], names=["member", "piece"])
 
-    members = planned.mapInArrow(run, "member binary").select(F.col("member").cast("string").alias("value"))
-    members.write.option("encoding", "ISO-8859-1").option("lineSep", _EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", records).text(path)
+    members = planned.mapInArrow(run, "member binary, piece int").select(F.col("member").cast("string").alias("value"), "piece")
+    members.write.partitionBy("piece").option("encoding", "ISO-8859-1").option("lineSep", _EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", records).text(path)
     return path
 
 
 def _archives(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "content")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """The valid records of all archives in a folder; with payloads=False the payload column is null."""
+    """The valid records of all archives in a folder; with payloads=False the payload column is null.
+
+    A revisit's payload is null. Records written twice are read twice; an empty folder gives no rows.
+    """
 
     def run(batches):
         for b in batches:
