@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, types as T
 
-from loamcast.llm.common import texts_of
+from loamcast.llm.common import holder, texts_of
 
 #: Pieces and transitions remembered by a worker at most; beyond, the memory starts anew.
 CACHE, TRANSITIONS = 250_000, 400_000
@@ -300,6 +300,9 @@ def tokenizer(ranks_path: str, pattern: str) -> Tokenizer:
     return Tokenizer(ranks_path, pattern)
 
 
+holder(tokenizer.cache_clear)
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, ids array<int>) for every row; null and empty texts have no ids."""
     schema = docs.select(id_col).schema.add("ids", T.ArrayType(T.IntegerType()))

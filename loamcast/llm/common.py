@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Words are runs of anything but the six ASCII white-space bytes.
@@ -94,11 +97,33 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete shuffle files of stages that nothing refers to any more."""
+    """Let Spark's cleaner delete shuffle files of stages that nothing refers to any more.
+
+    The scheduler knows its last job until the next one comes, so a job of one row comes first.
+    """
     gc.collect()
+    spark.range(0, 1, 1, 1).collect()
     spark.sparkContext._jvm.System.gc()
 
 
+_holders: list[Callable[[], None]] = []
+
+
+def holder(clear: Callable[[], None]) -> None:
+    """Register what lets go of the tables that a module keeps in a worker for its next task."""
+    _holders.append(clear)
+
+
+def make_room() -> None:
+    """In a worker, at the start of another operator's work: give kept tables and free memory back."""
+    for clear in _holders:
+        clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     if pa.types.is_string(column.type):
@@ -114,8 +139,7 @@ def longs(values) -> pa.Array:
 
 def slices(batch: pa.RecordBatch, text: int, most: int = 8 << 20):
     """The batch in pieces of about `most` text bytes, so that a piece's arrays stay small."""
-    sizes = np.fromiter((len(x) for x in texts_of(batch.column(text))), np.int64, batch.num_rows)
-    ends = np.cumsum(sizes)
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), np.int64))
     at = 0
     while at < batch.num_rows:
         done = ends[at - 1] if at else 0

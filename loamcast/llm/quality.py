@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from loamcast.llm.common import longs, numbered, restored, stage, texts_of
+from loamcast.llm.common import longs, make_room, numbered, restored, slices, stage, texts_of
 
 SYMBOLS = b"#*$%&|<>"
 _SPACE = bytes([32, *range(9, 14)])
@@ -73,10 +73,12 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         schema = schema.add(f, "long")
 
     def run(batches):
-        for b in batches:
-            rows = [measure(x) for x in texts_of(b.column(at))]
-            cols = np.array(rows, np.int64).reshape(-1, len(FEATURES)).T
-            yield pa.RecordBatch.from_arrays([*b.columns, *map(longs, cols)], names=[*b.schema.names, *FEATURES])
+        make_room()
+        for whole in batches:
+            for b in slices(whole, at, 2 << 20):
+                rows = [measure(x) for x in texts_of(b.column(at))]
+                cols = np.array(rows, np.int64).reshape(-1, len(FEATURES)).T
+                yield pa.RecordBatch.from_arrays([*b.columns, *map(longs, cols)], names=[*b.schema.names, *FEATURES])
 
     return docs.mapInArrow(run, schema)
 
@@ -125,19 +127,25 @@ def fit(patterns: np.ndarray, counts: np.ndarray, n_rules: int, rounds: int = 10
     return post
 
 
-def judge(measured: DataFrame, least: float = MIN_POSTERIOR) -> DataFrame:
+def _voted(measured: DataFrame) -> DataFrame:
+    code = sum((v * 3**k for k, v in enumerate(rules())), F.lit(0)).cast("int")
+    return measured.withColumns({"base_failed": base_failed(), "__votes": code})
+
+
+def posteriors(measured: DataFrame) -> DataFrame:
+    """(__votes, posterior) of every vote pattern of measured (with FEATURES): 3^rules rows at most."""
+    found = _voted(measured).groupBy("__votes").agg(F.count(F.lit(1)).alias("n")).orderBy("__votes").collect()
+    post = fit(np.array([r[0] for r in found], np.int64), np.array([r[1] for r in found], np.float64), len(rules()))
+    return measured.sparkSession.createDataFrame([(int(r[0]), float(p)) for r, p in zip(found, post, strict=True)], "__votes int, posterior double")
+
+
+def judge(measured: DataFrame, table: DataFrame, least: float = MIN_POSTERIOR) -> DataFrame:
     """measured (with FEATURES) and base_failed, posterior (double), kept.
 
-    kept is false where base_failed, else whether the posterior is `least` or more.
+    table is posteriors(measured). kept is false where base_failed, else whether the posterior is `least`
+    or more.
     """
-    votes = rules()
-    code = sum((v * 3**k for k, v in enumerate(votes)), F.lit(0)).cast("int")
-    rows = measured.withColumns({"base_failed": base_failed(), "__votes": code})
-    # 3^rules rows at most.
-    found = rows.groupBy("__votes").agg(F.count(F.lit(1)).alias("n")).orderBy("__votes").collect()
-    post = fit(np.array([r[0] for r in found], np.int64), np.array([r[1] for r in found], np.float64), len(votes))
-    table = measured.sparkSession.createDataFrame([(int(r[0]), float(p)) for r, p in zip(found, post, strict=True)], "__votes int, posterior double")
-    out = rows.join(F.broadcast(table), "__votes").withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= least))
+    out = _voted(measured).join(F.broadcast(table), "__votes").withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= least))
     return out.drop("__votes")
 
 
@@ -148,7 +156,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     words and fails the base rule, as an empty one; long texts are read whole. Rows with equal texts have
     equal results, repeated rows a row each, a null id stays null. An empty table gives an empty result.
     """
-    return judge(stage(features(docs.select(id_col, text_col), text_col).drop(text_col), "quality-features"))
+    measured = stage(features(docs.select(id_col, text_col), text_col).drop(text_col), "quality-features")
+    return judge(measured, posteriors(measured))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -158,5 +167,7 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     one by one, alike. An empty table gives an empty result.
     """
     rows = numbered(docs)
-    measured = stage(features(rows, rows.columns[docs.columns.index(text_col)]), "quality-documents")
-    return restored(judge(measured).where("kept"), docs.columns)
+    text = rows.columns[docs.columns.index(text_col)]
+    table = posteriors(features(rows.select(text), text))
+    # Texts are measured again rather than written to disk in between.
+    return restored(judge(features(rows, text), table).where("kept"), docs.columns)
