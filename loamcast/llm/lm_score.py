@@ -34,20 +34,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loamcast.llm.common import longs, slices, stage, texts_of
 
-#: Frequent words with outputs of their own come in classes of PER, one class for each WIDTH of the square
-#: root of the distinct words; classes of other words; hidden units.
-PER, WIDTH, OTHER, HIDDEN = 64, 16, 32, 24
+#: Frequent words with outputs of their own come in classes of PER: LEAST classes, and one more for each WIDTH of
+#: the square root of the distinct words; classes of other words; hidden units.
+PER, LEAST, WIDTH, OTHER, HIDDEN = 64, 16, 48, 32, 24
 #: Words (of LONGEST bytes at most) whose counts every worker holds, if frequent ones aren't more.
 KEEP, LONGEST = 131_072, 256
 #: Documents of the start, and rounds after which the shards' copies are averaged.
 WARM, ROUNDS = 2048, 4
 #: A corpus of SHARD tokens has one shard, one of k * k times as many has k; vectors of shards are summed in
 #: so many groups before they reach the driver.
-SHARD, GROUPS = 100_000, 16
+SHARD, GROUPS = 100_000, 4
 #: Steps of a backpropagation window, lanes read side by side, tokens laid out at once.
-STEPS, LANES, POOL = 32, 256, 6_000_000
+STEPS, LANES, POOL = 32, 512, 6_000_000
 #: Tokens of an update at least, and tokens over which a document's state is carried in training.
-UPDATE, SPAN = 4096, 1024
+UPDATE, SPAN = 8192, 1024
 #: Tokens whose class logits are worked out at once.
 BLOCK = 2048
 #: Bound on each state's gradient as it goes back in time.
@@ -55,7 +55,7 @@ CLIP = 8
 #: In scoring, texts of more tokens are read by tasks of their own, each for so many input partitions: a lane
 #: is as long as its longest document, so short ones would wait for them. This changes no score.
 LONG, TOGETHER = 2560, 4
-RATE = 0.04
+RATE = 0.06
 END = b"\n"
 
 
@@ -88,7 +88,7 @@ def other_class(word: bytes) -> int:
 
 
 def frequent(distinct: int) -> int:
-    return PER * max(1, -(-math.isqrt(distinct) // WIDTH))
+    return PER * (LEAST + math.isqrt(distinct) // WIDTH)
 
 
 class Vocabulary(NamedTuple):
@@ -495,7 +495,7 @@ def _pools(batches, column: int):
 
 
 def _train_shards(frequent: int, flat, rate: float):
-    """(part, tokens, vector): sums of parameters times tokens over the shards of a partition; shards lie together."""
+    """(part, tokens, vector): means of parameters, weighted by tokens, over the shards of a partition; shards lie together."""
 
     def run(batches):
         def trained(docs):
@@ -522,7 +522,7 @@ def _train_shards(frequent: int, flat, rate: float):
                 docs.append(np.frombuffer(x.as_buffer(), np.int32))
         done()
         for part, (n, v) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), longs([n]), pa.array([v.tobytes()], pa.binary())], names=["part", "tokens", "vector"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), longs([n]), pa.array([(v / n).astype(np.float32).tobytes()], pa.binary())], names=["part", "tokens", "vector"])
 
     return run
 
@@ -533,9 +533,17 @@ def _cuts(docs: list[np.ndarray]) -> list[int]:
     return (np.flatnonzero(np.diff(done)) + 1).tolist()
 
 
-def _added(key, table):
-    total = sum(np.frombuffer(x.as_buffer(), np.float64) for x in table.column("vector"))
-    return pa.table({"tokens": longs([sum(table.column("tokens").to_pylist())]), "vector": pa.array([total.tobytes()], pa.binary())})
+def _mean(tokens: list[int], vectors: list[bytes]) -> np.ndarray:
+    """The mean of float32 vectors by tokens; sorted first, so that it doesn't depend on the order of arrival."""
+    total = 0.0
+    for n, x in sorted(zip(tokens, vectors, strict=True)):
+        total = total + np.frombuffer(x, np.float32).astype(np.float64) * n
+    return (total / sum(tokens)).astype(np.float32)
+
+
+def _joined(key, table):
+    tokens = table.column("tokens").to_pylist()
+    return pa.table({"tokens": longs([sum(tokens)]), "vector": pa.array([_mean(tokens, table.column("vector").to_pylist()).tobytes()], pa.binary())})
 
 
 def _averaged(coded: DataFrame, frequent: int, flat: np.ndarray, rate: float, shards: int) -> np.ndarray:
@@ -543,12 +551,8 @@ def _averaged(coded: DataFrame, frequent: int, flat: np.ndarray, rate: float, sh
     at = coded.sparkSession.sparkContext.broadcast(flat)
     dealt = coded.select("shard", "draw", "ids").repartition(shards, "shard").sortWithinPartitions("shard", "draw", "ids").select("shard", "ids")
     rows = dealt.mapInArrow(_train_shards(frequent, at, rate), "part int, tokens long, vector binary")
-    found = rows.groupBy("part").applyInArrow(_added, "tokens long, vector binary").toArrow()  # GROUPS rows at most
-    tokens = sum(found.column(0).to_pylist())
-    if not tokens:
-        return flat
-    order = sorted((x.as_buffer().to_pybytes() for x in found.column(1)))  # sums that don't depend on the order of arrival
-    return (sum(np.frombuffer(x, np.float64) for x in order) / tokens).astype(np.float32)
+    found = rows.groupBy("part").applyInArrow(_joined, "tokens long, vector binary").toArrow()  # GROUPS rows at most
+    return _mean(*(c.to_pylist() for c in found.columns)) if found.num_rows else flat
 
 
 def learn(training: DataFrame, voc: Vocabulary, tokens: int, rounds: int = ROUNDS) -> np.ndarray:

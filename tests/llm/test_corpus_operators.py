@@ -174,7 +174,7 @@ def test_words_of_the_dictionary(spark, monkeypatch):
     assert lm_score._most_frequent(counts, 50_000).count() == 20_000
     flat = lm_score._most_frequent(counts.select("word", F.lit(1).alias("c")), 3000).count()
     assert 2700 <= flat <= 3200
-    assert lm_score.frequent(0) == 64 and lm_score.frequent(10**6) == 64 * 63 and lm_score.frequent(10**8) == 64 * 625
+    assert lm_score.frequent(0) == 64 * 16 and lm_score.frequent(10**6) == 64 * 36 and lm_score.frequent(10**8) == 64 * 224
 
 
 def test_scores_do_not_depend_on_partitions(spark):
