@@ -102,8 +102,13 @@ def dedup_lines(pages: DataFrame, site: Column, text: Column | str = "text", rat
 
 
 def clean_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
-    """clean() of web pages by the host of their urls; html_col becomes the lines that are left."""
-    return clean(pages, host(F.col(url_col)), html_lines(F.col(html_col)), ratio, least, into=html_col)
+    """clean() of web pages by the host of their urls; html_col becomes the lines that are left.
+
+    Pages are parsed once: their lines are staged, and read for counting and for filtering.
+    """
+    site = unused(pages, "site")
+    lines = stage(pages.withColumns({site: host(F.col(url_col)), html_col: html_lines(F.col(html_col))}), "page-lines")
+    return clean(lines, F.col(site), html_col, ratio, least).drop(site)
 
 
 def _quoted(pattern: str) -> str:
