@@ -90,4 +90,5 @@ def geometry_stats(df: DataFrame, geojson: Column, by: list[str]) -> DataFrame:
     x = df.select(*by, geojson_extent(geojson).alias("g")).select(*by, "g.*")
     aggs = [(F.min if a.endswith("min") else F.max)(a).alias(a) for a in _AXES]
     codes = F.array_sort(F.array_distinct(F.flatten(F.collect_set("codes")))).alias("codes")
-    return x.groupBy(*by).agg(*aggs, codes)
+    boxed = F.col("xmin").isNotNull() & F.col("ymin").isNotNull()
+    return x.groupBy(*by).agg(*aggs, codes).select(*by, *(F.when(boxed, F.col(a)).alias(a) for a in _AXES), "codes")

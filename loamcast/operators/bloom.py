@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 FPP, MOST = 0.01, 1 << 20
 #: Types whose plain bytes are hashed as readers expect; others get no filter.
 HASHABLE = ("int", "bigint", "float", "double", "string", "binary")
+#: Logical types whose values have other forms than the stored ones, so that a filter of these couldn't be asked.
+UNHASHED = ("UUID", "JSON", "FLOAT16", "GEOMETRY", "GEOGRAPHY", "VARIANT", "UINT32", "UINT64")
 
 
 def filter_bytes(ndv: Column, fpp: float = FPP) -> Column:

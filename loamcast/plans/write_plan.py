@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from loamcast.operators.bloom import HASHABLE, bloom_options
+from pyspark.sql import types as T
+
+from loamcast.operators.bloom import HASHABLE, UNHASHED, bloom_options
 from loamcast.operators.layout import PAGE_BYTES, ROW_GROUPS
 from loamcast.types import ColumnSpec
 
@@ -20,8 +22,12 @@ class WritePlan:
     custom: list[str] = field(default_factory=list)
 
 
-def plan_write(specs: Sequence[ColumnSpec] = (), codec: str = "snappy", row_groups: Sequence[int] = (100_000,), page_bytes: int = PAGE_BYTES, statistics: bool = True, metadata: dict[str, str] | None = None) -> WritePlan:
-    """Options for the columns' encodings, filters and statistics, and what they leave to the Arrow sink."""
+def plan_write(specs: Sequence[ColumnSpec] = (), codec: str = "snappy", row_groups: Sequence[int] = (100_000,), page_bytes: int = PAGE_BYTES, statistics: bool = True, metadata: dict[str, str] | None = None, schema: T.StructType | None = None) -> WritePlan:
+    """Options for the columns' encodings, filters and statistics, and what they leave to the Arrow sink.
+
+    schema gives the types of columns whose spec has none; without either a column gets no Bloom filter.
+    """
+    written = {f.name: f for f in schema or ()}
     plan = WritePlan()
     o = plan.options
     o["compression"] = codec
@@ -48,7 +54,10 @@ def plan_write(specs: Sequence[ColumnSpec] = (), codec: str = "snappy", row_grou
         if not s.statistics:
             o[f"parquet.column.statistics.enabled#{s.name}"] = "false"
         if s.bloom:
-            if s.type is None or s.data_type().simpleString() in HASHABLE:
+            at = written.get(s.name)
+            kind = s.data_type() if s.type is not None else at.dataType if at else None
+            logical = s.type if isinstance(s.type, str) else at.metadata.get("logical") if at else None
+            if kind is not None and kind.simpleString() in HASHABLE and logical not in UNHASHED:
                 o |= bloom_options({s.name: s.bloom_ndv or 100_000}, s.bloom_fpp)
     return plan
 

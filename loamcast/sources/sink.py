@@ -23,7 +23,7 @@ FORMAT = "loamcast"
 
 def write_native(df: DataFrame, path: str, specs: Sequence[ColumnSpec] = (), mode: str = "overwrite", **layout) -> None:
     """Write through Spark's Parquet writer; refuses what only the Arrow sink can do."""
-    plan = plan_write(specs, **layout)
+    plan = plan_write(specs, schema=df.schema, **layout)
     if plan.custom:
         raise ValueError(f"use write_arrow for: {', '.join(plan.custom)}")
     df.write.mode(mode).options(**plan.options).parquet(path)

@@ -157,6 +157,15 @@ def test_extents(spark):
     rows = [(json.dumps({"type": "Point", "coordinates": [1, 2]}),), ('{"type":"Point","coordinates":[NaN,5,7]}',), (None,)]
     r = geo.geometry_stats(spark.createDataFrame(rows, "g string"), F.col("g"), []).first()
     assert (r.xmin, r.xmax, r.ymin, r.ymax, r.zmin) == (1, 1, 2, 5, 7) and r.codes == [1, 1001]
+    lone = geo.geometry_stats(spark.createDataFrame([('{"type":"Point","coordinates":[1,NaN,3]}',)], "g string"), F.col("g"), []).first()
+    assert lone[:8] == (None,) * 8 and lone.codes == [1001]  # no box without x and y
+
+
+def test_bloom_filters_go_by_logical_types():
+    schema = T.StructType().add("a", "string").add("b", "date").add("c", "string", True, {"logical": "JSON"})
+    asked = lambda *specs: {k for k in plan_write(specs, schema=schema).options if "bloom" in k and "enabled" in k}
+    assert asked(*(ColumnSpec(n, t, bloom=True) for n, t in (("u", "UUID"), ("j", "JSON"), ("h", "FLOAT16"), ("d", "DATE"), ("b", None), ("c", None), ("gone", None)))) == set()
+    assert len(asked(ColumnSpec("a", None, bloom=True), ColumnSpec("x", "STRING", bloom=True), ColumnSpec("n", "INT64", bloom=True))) == 3
 
 
 def test_rows_and_columns(spark):
