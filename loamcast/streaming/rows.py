@@ -18,7 +18,7 @@ def write_stream(stream: DataFrame, path: str, checkpoint: str, specs=(), **layo
 
     The next batch starts only when the one before is committed, which is the backpressure.
     """
-    plan = plan_write(specs, **layout)
+    plan = plan_write(specs, schema=stream.schema, **layout)
     if plan.custom:
         raise ValueError(f"a stream can't have: {', '.join(plan.custom)}")
     q = stream.writeStream.format("parquet").options(**plan.options).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
