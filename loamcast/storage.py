@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 
@@ -16,7 +15,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        if not (spark.sparkContext.master + "[").startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="loamcast-")
         spark.conf.set("spark.checkpoint.dir", top)
