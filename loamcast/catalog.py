@@ -288,6 +288,48 @@ def struct_levels(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", person.alias("p")).select("doc_id", nested.struct_levels(F.col("p"), ["address", "city"]).alias("def"))
 
 
+_TAGGED = """
+with d as (select doc_id, doc_id % 7 = 0 as no_list, doc_id % 7 = 1 as no_items, doc_id % 3 as last from documents),
+o as (select doc_id, unnest(range(0, last + 1)) as j from d where not no_list and not no_items),
+e as (select doc_id, j, (doc_id + j) % 5 = 0 as no_item, (doc_id + j) % 4 as how from o),
+i as (select doc_id, j, unnest(range(0, 2 + (doc_id + j) % 2)) as i from e where not no_item and how > 1),
+s as (
+  select doc_id, 0 as j, 0 as i, 0 as rep, case when no_list then 0 else 1 end as def, null::bigint as value from d where no_list or no_items
+  union all select doc_id, j, 0, case when j = 0 then 0 else 1 end, case when no_item then 2 when how = 0 then 3 else 4 end, null from e where no_item or how < 2
+  union all select doc_id, j, i, case when i > 0 then 2 when j > 0 then 1 else 0 end, case when i = 1 then 5 else 6 end, case when i = 1 then null else doc_id + j + i end from i)
+select doc_id, (row_number() over (partition by doc_id order by j, i) - 1)::int as slot, rep::int as rep, def::int as def, value from s
+"""
+
+
+@_query(_TAGGED)
+def dremel_nested(spark, sf_dir):
+    """A list of structs that hold lists: nulls and empty lists at each level."""
+    k = F.col("doc_id")
+
+    def item(j):
+        tags = F.transform(F.sequence(F.lit(0).cast("long"), 1 + (k + j) % 2), lambda i: F.when(i != 1, k + j + i))
+        kept = F.when((k + j) % 4 == 0, F.lit(None)).when((k + j) % 4 == 1, F.array().cast("array<bigint>")).otherwise(tags)
+        return F.when((k + j) % 5 != 0, F.struct(kept.alias("tags")))
+
+    items = F.transform(F.sequence(F.lit(0).cast("long"), k % 3), item)
+    v = F.when(k % 7 == 0, F.lit(None)).when(k % 7 == 1, F.slice(items, 1, 0)).otherwise(items)
+    return nested.nested_levels(_t(spark, sf_dir, "documents").select("doc_id", v.alias("v")), "v", ["element", "tags", "element"], ["doc_id"])
+
+
+@_query("""
+with r as (select c_custkey, unnest(['map', 'object', 'entries', 'pairs']) as shape from customer)
+select c_custkey, shape, p as place, case when p = 0 then 'a' else 'b' end as key, case when p = 0 then c_custkey when c_custkey % 3 = 0 then null else c_custkey + 1 end as value
+from (select c_custkey, shape, unnest([0, 1]) as p from r)
+""")
+def map_shapes(spark, sf_dir):
+    one, two = F.col("c_custkey"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_custkey") + 1)
+    entry = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
+    shapes = {"map": F.create_map(F.lit("a"), one, F.lit("b"), two), "object": F.struct(one.alias("a"), two.alias("b")), "entries": F.array(entry("a", one), entry("b", two)), "pairs": F.array(F.array(F.lit("a"), one.cast("string")), F.array(F.lit("b"), two.cast("string")))}
+    df = _t(spark, sf_dir, "customer").select("c_custkey", *(v.alias(n) for n, v in shapes.items()))
+    plain = F.array(*(F.struct(F.lit(n).alias("shape"), F.transform(nested.map_entries_of(F.col(n), df.schema[n].dataType), lambda e: F.struct(e["key"].alias("key"), e["value"].cast("long").alias("value"))).alias("entries")) for n in shapes))
+    return df.select("c_custkey", F.explode(plain).alias("s")).select("c_custkey", "s.shape", F.posexplode("s.entries").alias("place", "e")).select("c_custkey", "shape", "place", "e.*")
+
+
 @_query("select n_regionkey, list(n_nationkey order by n_nationkey) as n_nationkey, list(n_name order by n_nationkey) as n_name from nation group by n_regionkey")
 def transpose(spark, sf_dir):
     return nested.transposed(_t(spark, sf_dir, "nation"), ["n_nationkey", "n_name"], ["n_regionkey"], ["n_nationkey"])

@@ -8,6 +8,8 @@ from loamcast.operators.order import numbered
 
 #: A small first group for previews, then large ones.
 ROW_GROUPS, PAGE_BYTES = (1000, 100_000), 1 << 20
+#: Pages that one task puts in order at a time.
+CHUNK = 1 << 14
 
 
 def row_group_of(pos: Column, sizes: tuple[int, ...] = ROW_GROUPS) -> tuple[Column, Column]:
@@ -67,15 +69,23 @@ def variable_pages(df: DataFrame, size: Column, page_bytes: int = PAGE_BYTES) ->
 def boundary_order(pages: DataFrame, low: str, high: str, by: str = "page", within: list[str] | None = None) -> DataFrame:
     """ASCENDING, DESCENDING or UNORDERED for each group of pages by their bounds.
 
-    Pages without values (null bounds) are passed over; one that fits both orders is ASCENDING.
+    Pages without values (null bounds) are passed over; one that fits both orders is ASCENDING. Pages are
+    compared in stretches of CHUNK, and then the ends of one stretch with the next, so no task orders all.
     """
     within = within or []
-    w = Window.partitionBy(*within).orderBy(by) if within else Window.partitionBy(F.lit(0)).orderBy(by)
-    real = pages.where(F.col(low).isNotNull()).withColumns({"__l": F.lag(low).over(w), "__h": F.lag(high).over(w)})
-    up = F.bool_and(F.coalesce((F.col("__l") <= F.col(low)) & (F.col("__h") <= F.col(high)), F.lit(True)))
-    down = F.bool_and(F.coalesce((F.col("__l") >= F.col(low)) & (F.col("__h") >= F.col(high)), F.lit(True)))
-    order = F.when(up, "ASCENDING").when(down, "DESCENDING").otherwise("UNORDERED").alias("boundary_order")
-    return real.groupBy(*within).agg(order)
+    real = pages.where(F.col(low).isNotNull() & F.col(high).isNotNull()).withColumn("__c", F.floor(F.col(by) / CHUNK))
+    in_order = lambda a, b: F.bool_and(F.coalesce(a, F.lit(True)) & F.coalesce(b, F.lit(True)))
+    w = Window.partitionBy(*within, "__c").orderBy(by)
+    near = real.withColumns({"__l": F.lag(low).over(w), "__h": F.lag(high).over(w)})
+    up = in_order(F.col("__l") <= F.col(low), F.col("__h") <= F.col(high)).alias("up")
+    down = in_order(F.col("__l") >= F.col(low), F.col("__h") >= F.col(high)).alias("down")
+    ends = F.struct(F.col(low).alias("l"), F.col(high).alias("h"))
+    parts = near.groupBy(*within, "__c").agg(up, down, F.min_by(ends, by).alias("a"), F.max_by(ends, by).alias("z"))
+    before = F.lag("z").over((Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))).orderBy("__c"))
+    parts = parts.withColumn("p", before)  # a row per stretch
+    up = F.bool_and("up") & in_order(F.col("p.l") <= F.col("a.l"), F.col("p.h") <= F.col("a.h"))
+    down = F.bool_and("down") & in_order(F.col("p.l") >= F.col("a.l"), F.col("p.h") >= F.col("a.h"))
+    return parts.groupBy(*within).agg(F.when(up, "ASCENDING").when(down, "DESCENDING").otherwise("UNORDERED").alias("boundary_order"))
 
 
 def first_rows(slots: DataFrame, per_page: int, order_by: list[str]) -> DataFrame:
@@ -86,5 +96,18 @@ def first_rows(slots: DataFrame, per_page: int, order_by: list[str]) -> DataFram
     """
     at = numbered(slots, order_by, "slot").withColumn("page", F.floor(F.col("slot") / per_page).cast("long"))
     pages = at.groupBy("page").agg(F.sum((F.col("rep") == 0).cast("long")).alias("begins"), F.count(F.lit(1)).alias("n_values"))
-    before = F.coalesce(F.sum("begins").over(Window.orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return pages.select("page", before.cast("long").alias("first_row_index"), "n_values")
+    return running_total(pages, "begins", "page", "first_row_index").select("page", "first_row_index", "n_values")
+
+
+def running_total(df: DataFrame, value: str, by: str, name: str) -> DataFrame:
+    """df with `name` (long): the sum of value over rows of smaller `by`, which numbers the rows.
+
+    Sums run inside stretches of CHUNK and are shifted by the totals of the stretches before.
+    """
+    dealt = df.withColumn("__c", F.floor(F.col(by) / CHUNK))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum(value).over(upto(Window.partitionBy("__c").orderBy(by))), F.lit(0))
+    totals = dealt.groupBy("__c").agg(F.sum(value).alias("__n"))  # a row per stretch
+    shifts = totals.select("__c", F.coalesce(F.sum("__n").over(upto(Window.orderBy("__c"))), F.lit(0)).alias("__shift"))
+    out = dealt.withColumn("__k", inside).join(shifts, "__c")
+    return out.withColumn(name, (F.col("__k") + F.col("__shift")).cast("long")).drop("__c", "__k", "__shift")
