@@ -506,17 +506,59 @@ def footer_groups(spark, sf_dir):
 @_query("select event_id, (props->>'$.k')::bigint as k, event_type from events")
 def roundtrip_shredded(spark, sf_dir):
     path = shared_path(spark, "variants")
-    before = {k: spark.conf.get(k, None) for k in ("spark.sql.variant.writeShredding.enabled", "spark.sql.variant.inferShreddingSchema")}
-    try:
-        for k in before:
-            spark.conf.set(k, "true")
-        _t(spark, sf_dir, "events").select("event_id", "event_type", variant.encode(F.col("props")).alias("v")).write.mode("overwrite").parquet(path)
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    df = _t(spark, sf_dir, "events").select("event_id", "event_type", variant.encode(F.col("props")).alias("v"))
+    sink.write_native(df, path, [ColumnSpec("v", "VARIANT", shredding="auto")])
     return spark.read.parquet(path).select("event_id", F.variant_get("v", "$.k", "bigint").alias("k"), "event_type")
 
 
+@_query("""
+select event_id, event_id as id, case when event_id % 4 = 0 then null else user_id end as uid, event_id % 6 = 0 as json_null,
+  case when event_id % 10 = 0 then '7' else event_type end as type from events
+""")
+def roundtrip_spec_shredded(spark, sf_dir):
+    path = _shredded(spark, sf_dir)
+    get = lambda p, kind: F.try_variant_get("v", p, kind)
+    json_null = F.coalesce(F.is_variant_null(get("$.note", "variant")), F.lit(False))
+    return spark.read.parquet(path).select("event_id", get("$.id", "bigint").alias("id"), get("$.user.uid", "bigint").alias("uid"), json_null.alias("json_null"), get("$.type", "string").alias("type"))
+
+
+def _shredded(spark, sf_dir):
+    path = shared_path(spark, "shredded")
+    shape = {"id": "INT64", "type": "STRING", "user": {"uid": "INT64", "value": "INT64"}}
+    sink.write_native(_rich(spark, sf_dir).select("event_id", "v"), path, [ColumnSpec("v", "VARIANT", shredding=shape)])
+    return path
+
+
+@_query("""
+select unnest(['event_id', 'v.metadata', 'v.value', 'v.typed_value.id.value', 'v.typed_value.id.typed_value', 'v.typed_value.type.value', 'v.typed_value.type.typed_value',
+  'v.typed_value.user.value', 'v.typed_value.user.typed_value.uid.value', 'v.typed_value.user.typed_value.uid.typed_value']) as leaf,
+  unnest(['INT64', 'BYTE_ARRAY', 'BYTE_ARRAY', 'BYTE_ARRAY', 'INT64', 'BYTE_ARRAY', 'BYTE_ARRAY', 'BYTE_ARRAY', 'BYTE_ARRAY', 'INT64']) as physical, (select count(*) from events) as n_rows
+""")
+def shredded_leaves(spark, sf_dir):
+    leaves = sink.footers(spark, _shredded(spark, sf_dir)).groupBy(F.col("column").alias("leaf"), "physical")
+    return leaves.agg(F.sum("n_rows").alias("n_rows"))
+
+
+@_query("select key, row_number() over (order by key) - 1 as id from (values ('id'), ('type'), ('user'), ('uid'), ('note')) t(key)")
+def variant_dictionary(spark, sf_dir):
+    return variant.all_keys(_rich(spark, sf_dir), "v")
+
+
+@_query("""
+select unnest(['c_custkey', 'u', 'j', 'h', 'n', 't', 'w', 'g']) as column, unnest(['INT64', 'FIXED_LEN_BYTE_ARRAY', 'BYTE_ARRAY', 'FIXED_LEN_BYTE_ARRAY', 'INT64', 'INT64', 'INT32', 'BYTE_ARRAY']) as physical,
+  unnest(['NONE', 'UUID', 'JSON', 'FLOAT16', 'TIMESTAMP', 'TIME', 'INT', 'GEOMETRY']) as logical, unnest([0, null, null, null, null, null, null, null]) as sorting, (select count(*) from customer) as n_rows
+""")
+def logical_types(spark, sf_dir):
+    path = shared_path(spark, "logical")
+    k = F.col("c_custkey")
+    point = F.concat(F.lit('{"type":"Point","coordinates":['), k, F.lit(","), k, F.lit("]}"))
+    made = {"u": convert.uuid_bytes(F.md5("c_name")), "j": F.to_json(F.struct("c_name")), "h": (k % 100).cast("float"), "n": k * 1_000_000_007, "t": k % 86_400_000_000, "w": k % 4294967296, "g": geo.geojson_wkb(point)}
+    kinds = ("UUID", "JSON", "FLOAT16", "TIMESTAMP_NANOS", "TIME", "UINT32", "GEOMETRY")
+    df = _t(spark, sf_dir, "customer").select("c_custkey", *(c.alias(n) for n, c in made.items()))
+    sink.write_arrow(df, path, [ColumnSpec(n, t) for n, t in zip(made, kinds, strict=True)], sorting=["c_custkey"])
+    return sink.footers(spark, path).groupBy("column", "physical", "logical", "sorting").agg(F.sum("n_rows").alias("n_rows"))
+
+
 @_query("select * from events")
 def stream_rows(spark, sf_dir):
     source, out, marks = shared_path(spark, "stream-in"), shared_path(spark, "stream-out"), shared_path(spark, "stream-marks")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+from loamcast.types import BASIC
 
 DEPTH, LEAVES = 3, 256
 _RESERVED = ("value", "typed_value")
@@ -50,6 +52,59 @@ def prune(kind: T.DataType, depth: int) -> T.DataType | None:
     return kind if kind.simpleString() in _SHREDDED else None
 
 
+def shredding_shape(config) -> str | None:
+    """DDL of the shape that a shredding setting means, or None if nothing of it is left.
+
+    Dicts are objects, one-element lists are arrays, and strings name basic types or are DDL. Fields with
+    reserved names and objects without fields are left out.
+    """
+    if isinstance(config, str) and config not in BASIC:
+        config = T.DataType.fromDDL(config)
+    kind = _shape_of(config)
+    if isinstance(kind, T.StructType):
+        return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kind.fields)
+    return kind.simpleString() if kind is not None else None
+
+
+def _shape_of(config) -> T.DataType | None:
+    if isinstance(config, T.StructType):
+        config = {f.name: f.dataType for f in config.fields}
+    elif isinstance(config, T.ArrayType):
+        config = [config.elementType]
+    if isinstance(config, dict):
+        inner = [(n, _shape_of(c)) for n, c in config.items() if n not in _RESERVED]
+        inner = [T.StructField(n, k) for n, k in inner if k is not None]
+        return T.StructType(inner) if inner else None
+    if isinstance(config, list | tuple):
+        if len(config) != 1:
+            raise ValueError("an array is shredded by one element shape")
+        inside = _shape_of(config[0])
+        return T.ArrayType(inside) if inside is not None else None
+    if isinstance(config, str):
+        return BASIC[config] if config in BASIC else T.DataType.fromDDL(config)
+    if isinstance(config, T.DataType):
+        return config
+    raise ValueError(f"no shredding shape: {config!r}")
+
+
+def all_keys(df: DataFrame, column: str, depth: int = 8) -> DataFrame:
+    """Distinct object keys at any level of a variant column, in order of their bytes, with `id` from 0.
+
+    Levels are opened one after the other, `depth` at most; deeper objects are an error.
+    """
+    tvf, level, found = df.sparkSession.tvf, df.select(F.col(column).alias("v")).where("v is not null"), None
+    for _ in range(depth):
+        opened = level.lateralJoin(tvf.variant_explode(F.col("v").outer())).select("key", "value")
+        names = opened.where("key is not null").select("key").distinct()
+        found = names if found is None else found.union(names)
+        level = opened.where("value is not null").select(F.col("value").alias("v"))
+    nested = F.schema_of_variant("v").rlike("^(OBJECT<.|ARRAY<.)")
+    deeper = F.when(nested & (F.schema_of_variant("v") != "ARRAY<VOID>"), F.raise_error(F.lit(f"objects are nested deeper than {depth}")).cast("string"))
+    rest = level.select(deeper.alias("key")).where("key is not null")
+    names = found.union(rest).distinct()
+    return names.withColumn("id", F.row_number().over(Window.orderBy("key")) - 1)  # a dictionary's keys
+
+
 def count_leaves(kind: T.DataType) -> int:
     if isinstance(kind, T.StructType):
         return sum(count_leaves(f.dataType) for f in kind.fields)

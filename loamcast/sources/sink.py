@@ -11,11 +11,12 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from loamcast.operators.layout import ROW_GROUPS
 from loamcast.plans.write_plan import plan_write
+from loamcast.sources.annotate import ARROW, annotated, annotated_schema
 from loamcast.types import ColumnSpec
 
 FORMAT = "loamcast"
@@ -26,7 +27,15 @@ def write_native(df: DataFrame, path: str, specs: Sequence[ColumnSpec] = (), mod
     plan = plan_write(specs, schema=df.schema, **layout)
     if plan.custom:
         raise ValueError(f"use write_arrow for: {', '.join(plan.custom)}")
-    df.write.mode(mode).options(**plan.options).parquet(path)
+    conf = df.sparkSession.conf
+    before = {k: conf.get(k, None) for k in plan.session}
+    try:
+        for k, v in plan.session.items():
+            conf.set(k, v)
+        df.write.mode(mode).options(**plan.options).parquet(path)
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
 
 
 def group_sizes(sizes: Sequence[int]) -> Iterator[int]:
@@ -79,6 +88,9 @@ class _ArrowWriter(DataSourceArrowWriter):
         plain = {n: e for n, e in encodings.items() if e != "RLE_DICTIONARY"}
         if plain:
             out |= {"column_encoding": plain, "use_dictionary": [n for n in schema.names if n not in plain]}
+        order = [(names[c.lower()], down) for c, down in json.loads(o.get("sorting", "[]"))]
+        if order:
+            out["sorting_columns"] = [pq.SortingColumn(schema.names.index(n), descending=down, nulls_first=not down) for n, down in order]
         return out
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
@@ -91,8 +103,11 @@ class _ArrowWriter(DataSourceArrowWriter):
         to = f"{top}/_{self.run}-{uuid.uuid4().hex}.parquet"
         sizes = json.loads(self.o.get("row_groups", json.dumps(list(ROW_GROUPS))))
         notes = json.loads(self.o.get("metadata", "{}"))
-        with fs.open_output_stream(to) as f, pq.ParquetWriter(f, first.schema, **self._arguments(first.schema)) as w:
-            rows = write_groups(w, _chain(first, iterator), sizes, first.schema)
+        names = {n.lower(): n for n in first.schema.names}
+        schema = annotated_schema(first.schema, {names[k.lower()]: v for k, v in json.loads(self.o.get("logical", "{}")).items() if k.lower() in names})
+        batches = (annotated(b, schema) for b in _chain(first, iterator))
+        with fs.open_output_stream(to) as f, pq.ParquetWriter(f, schema, **self._arguments(schema)) as w:
+            rows = write_groups(w, batches, sizes, schema)
             if notes:
                 w.add_key_value_metadata(notes)
         return _Written(to, rows)
@@ -100,12 +115,11 @@ class _ArrowWriter(DataSourceArrowWriter):
     def commit(self, messages: list) -> None:
         fs, top = pafs.FileSystem.from_uri(self.o["path"])
         fs.create_dir(top, recursive=True)
-        if self.overwrite:
-            for f in fs.get_file_info(pafs.FileSelector(top)):
-                if f.base_name.startswith("part-"):
-                    fs.delete_file(f.path)
+        old = [f.path for f in fs.get_file_info(pafs.FileSelector(top)) if f.base_name.startswith("part-")] if self.overwrite else []
         for k, m in enumerate(m for m in messages if m and m.path):
             fs.move(m.path, f"{top}/part-{k:05d}-{self.run}.parquet")
+        for f in old:
+            fs.delete_file(f)
         with fs.open_output_stream(f"{top}/_SUCCESS"):
             pass
 
@@ -122,7 +136,7 @@ def _chain(first: pa.RecordBatch, rest: Iterator[pa.RecordBatch]) -> Iterator[pa
 
 
 class ArrowSink(DataSource):
-    """df.write.format("loamcast"): row_groups, codec, codecs, encodings, statistics, page_bytes, metadata."""
+    """df.write.format("loamcast"): row_groups, codec, codecs, encodings, logical, sorting, statistics, page_bytes, metadata."""
 
     @classmethod
     def name(cls) -> str:
@@ -135,10 +149,11 @@ class ArrowSink(DataSource):
         return _ArrowWriter(dict(self.options), overwrite)
 
 
-def write_arrow(df: DataFrame, path: str, specs: Sequence[ColumnSpec] = (), codec: str = "snappy", row_groups: Sequence[int] = ROW_GROUPS, page_bytes: int = 1 << 20, statistics: bool = True, metadata: dict[str, str] | None = None, mode: str = "overwrite") -> None:
-    """Write with a row group list, per-column codecs and encodings, and footer key-values.
+def write_arrow(df: DataFrame, path: str, specs: Sequence[ColumnSpec] = (), codec: str = "snappy", row_groups: Sequence[int] = ROW_GROUPS, page_bytes: int = 1 << 20, statistics: bool = True, metadata: dict[str, str] | None = None, sorting: Sequence[str] = (), mode: str = "overwrite") -> None:
+    """Write with a row group list, per-column codecs, encodings and logical types, and footer key-values.
 
-    Every task writes one file in a folder that all executors share; files appear when the job commits.
+    sorting names columns, with a minus in front for descending ones: files are sorted by them, each for
+    itself, and their footers say so. Every task writes one file in a folder that all executors share; files appear when the job commits.
     """
     df.sparkSession.dataSource.register(ArrowSink)
     next(group_sizes(row_groups))
@@ -149,6 +164,12 @@ def write_arrow(df: DataFrame, path: str, specs: Sequence[ColumnSpec] = (), code
     uri = "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
     o = {"path": uri, "codec": codec, "row_groups": json.dumps(list(row_groups)), "page_bytes": str(page_bytes), "statistics": str(statistics).lower(), "metadata": json.dumps(metadata or {})}
     o["codecs"] = json.dumps({s.name: s.codec for s in specs if s.codec})
+    order = [(c.removeprefix("-"), c.startswith("-")) for c in sorting]
+    if order:
+        df = df.sortWithinPartitions(*(F.desc(c) if down else F.asc(c) for c, down in order))
+    o["sorting"] = json.dumps(order)
+    noted = {f.name: f.metadata["logical"] for f in df.schema if f.metadata.get("logical") in ARROW}
+    o["logical"] = json.dumps(noted | {s.name: s.type for s in specs if isinstance(s.type, str) and s.type in ARROW})
     o["encodings"] = json.dumps({s.name: s.encoding for s in specs if s.encoding})
     df.write.format(FORMAT).mode(mode).options(**o).save()
 
@@ -181,26 +202,33 @@ class IncrementalWriter:
 
 
 def footers(spark: SparkSession, path: str) -> DataFrame:
-    """(file, row_group, n_rows, column, codec, encodings, has_bounds, null_count, bytes) of all files.
+    """One row per column chunk of all files: where it is, its size and codec, and how it is typed and sorted.
 
-    Files are listed by Spark and each footer is read where its bytes are.
+    Spark lists the files, and the tasks read their footers alone. logical is NONE where a column has no
+    logical type; sorting is the place of the column in its group's order (from 0), or null.
     """
-    schema = "file string, row_group int, n_rows long, column string, codec string, encodings string, has_bounds boolean, null_count long, bytes long"
+    schema = "file string, row_group int, n_rows long, column string, codec string, encodings string, has_bounds boolean, null_count long, bytes long, physical string, logical string, sorting int"
+
+    def chunks(path: str):
+        uri = "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
+        fs, at = pafs.FileSystem.from_uri(uri)
+        m = pq.read_metadata(at, filesystem=fs)
+        for g in range(m.num_row_groups):
+            group = m.row_group(g)
+            order = {x.column_index: k for k, x in enumerate(group.sorting_columns)}
+            for c in range(m.num_columns):
+                x, kind = group.column(c), m.schema.column(c)
+                s = x.statistics
+                typed = json.loads(kind.logical_type.to_json())["Type"].upper()
+                yield (path.rpartition("/")[2], g, group.num_rows, x.path_in_schema, x.compression, ",".join(sorted(set(x.encodings))), bool(s and s.has_min_max), s.null_count if s and s.has_null_count else None, x.total_compressed_size, x.physical_type, typed, order.get(c))
 
     def run(batches):
+        kinds = (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32())
+        names = [x.split(" ")[0] for x in schema.split(", ")]
         for b in batches:
-            rows = []
-            for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                m = pq.read_metadata(pa.BufferReader(data.as_buffer()))
-                for g in range(m.num_row_groups):
-                    for c in range(m.num_columns):
-                        x = m.row_group(g).column(c)
-                        s = x.statistics
-                        rows.append((name.rpartition("/")[2], g, m.row_group(g).num_rows, x.path_in_schema, x.compression, ",".join(sorted(set(x.encodings))), bool(s and s.has_min_max), s.null_count if s and s.has_null_count else None, x.total_compressed_size))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 9
-            kinds = (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64())
-            names = [x.split(" ")[0] for x in schema.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.parquet").load(path).select("path", "content")
+            for name in b.column(0).to_pylist():
+                cols = list(zip(*chunks(name), strict=True)) or [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.parquet").load(path).select("path")
     return files.mapInArrow(run, schema)

@@ -8,12 +8,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import types as T
 
 #: Basic type names and their Spark types. Annotations that Spark can't read back (UUID, half floats,
-#: geometries) live in field metadata.
+#: geometries, counts since midnight or of nanoseconds) live in field metadata; the Arrow sink writes them.
 BASIC: dict[str, T.DataType] = {
     "BOOLEAN": T.BooleanType(), "INT32": T.IntegerType(), "INT64": T.LongType(), "FLOAT": T.FloatType(), "DOUBLE": T.DoubleType(),
     "BYTE_ARRAY": T.BinaryType(), "STRING": T.StringType(), "JSON": T.StringType(), "TIMESTAMP": T.TimestampType(), "DATE": T.DateType(),
     "UUID": T.BinaryType(), "FLOAT16": T.FloatType(), "GEOMETRY": T.BinaryType(), "GEOGRAPHY": T.BinaryType(), "VARIANT": T.VariantType(),
-    "UINT32": T.LongType(), "UINT64": T.DecimalType(20, 0),
+    "UINT32": T.LongType(), "UINT64": T.DecimalType(20, 0), "TIME": T.LongType(), "TIME_MILLIS": T.LongType(), "TIMESTAMP_NANOS": T.LongType(),
 }
 
 #: What each encoding takes, by Spark type name.
@@ -22,6 +22,8 @@ ENCODINGS = {
     "DELTA_BINARY_PACKED": {"int", "bigint", "date", "timestamp"}, "DELTA_LENGTH_BYTE_ARRAY": {"string", "binary"},
     "DELTA_BYTE_ARRAY": {"string", "binary"}, "BYTE_STREAM_SPLIT": {"int", "bigint", "float", "double"},
 }
+#: Types that are more than their Spark type says.
+LOGICAL = ("JSON", "UUID", "FLOAT16", "GEOMETRY", "GEOGRAPHY", "UINT32", "UINT64", "TIME", "TIME_MILLIS", "TIMESTAMP_NANOS")
 CODECS = ("none", "snappy", "gzip", "zstd", "lz4")
 
 
@@ -38,6 +40,7 @@ class ColumnSpec:
     bloom_ndv: int | None = None
     bloom_fpp: float = 0.01
     statistics: bool = True
+    #: "auto", or the shape to shred by: a Spark type, its DDL, or names of basic types in dicts and lists.
     shredding: object = None
     metadata: dict = field(default_factory=dict)
 
@@ -51,7 +54,7 @@ class ColumnSpec:
         return T._parse_datatype_string(self.type)
 
     def field(self) -> T.StructField:
-        note = {"logical": self.type} if self.type in ("JSON", "UUID", "FLOAT16", "GEOMETRY", "GEOGRAPHY", "UINT32", "UINT64") else {}
+        note = {"logical": self.type} if self.type in LOGICAL else {}
         return T.StructField(self.name, self.data_type(), self.nullable, note | self.metadata)
 
     def check(self) -> None:

@@ -5,8 +5,10 @@ import struct
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+import xxhash
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F, types as T
 
@@ -221,3 +223,92 @@ def test_buffer_and_increments(spark, tmp_path):
 def test_plan_lists_what_spark_cannot_write():
     plan = plan_write([ColumnSpec("a", "DOUBLE", encoding="BYTE_STREAM_SPLIT", codec="gzip")], row_groups=(1, 2), metadata={"k": "v"})
     assert len(plan.custom) == 4
+
+
+def test_filters_forget_nothing():
+    rng = np.random.default_rng(3)
+    for x in (rng.integers(-(2**60), 2**60, 5000), rng.integers(-(2**30), 2**30, 5000).astype(np.int32), rng.normal(size=5000), rng.normal(size=5000).astype(np.float32)):
+        want = [xxhash.xxh64_intdigest(v.tobytes()) for v in x]
+        assert bloom.xxh64(pa.array(x)).tolist() == want
+    assert bloom.xxh64(pa.array(["", "a", "é" * 40])).tolist() == [xxhash.xxh64_intdigest(v.encode()) for v in ("", "a", "é" * 40)]
+    keys = bloom.xxh64(pa.array(np.arange(10_000)))
+    made = bloom.create_filter(keys[:5000], 8192)
+    assert bloom.may_contain(made, keys[:5000]).all() and bloom.may_contain(made, keys[5000:]).mean() < 0.03
+    assert not bloom.may_contain(bloom.create_filter(keys[:0], 32), keys).any()
+
+
+def test_filters_prune_groups(spark):
+    df = spark.createDataFrame([(g, v) for g, vs in ((0, (10, 90)), (1, (30, 70))) for v in vs for _ in range(100)] + [(2, None)], "row_group long, code int")
+    filters = bloom.build_filters(df, "code")
+    assert sorted((r.row_group, r.ndv, len(r.filter)) for r in filters.collect()) == [(0, 2, 32), (1, 2, 32)]
+    probes = spark.createDataFrame([(30,), (None,)], "probe int")
+    assert [tuple(r) for r in bloom.filter_candidates(filters, probes).collect()] == [(30, 1)]
+    assert [tuple(r) for r in bloom.probe_groups(df, "code", [30, 31]).collect()] == [(30, 1)]
+    with pytest.raises(ValueError, match="no Bloom filter"):
+        bloom.build_filters(df.withColumn("code", F.array("code")), "code")
+
+
+def test_levels_of_maps_and_required_fields(spark):
+    kind = T.StructType([T.StructField("m", T.MapType(T.StringType(), T.ArrayType(T.IntegerType(), False), True)), T.StructField("x", T.IntegerType(), False)])
+    rows = [(1, {"m": {"a": [1, 2], "b": None, "c": []}, "x": 5}), (2, None), (3, {"m": None, "x": 6}), (4, {"m": {}, "x": 7})]
+    df = spark.createDataFrame(rows, T.StructType([T.StructField("id", T.IntegerType()), T.StructField("v", kind)]))
+    got = lambda *path: [tuple(r)[1:] for r in nested.nested_levels(df, "v", list(path), ["id"]).orderBy("id", "slot").collect()]
+    assert got("x") == [(0, 0, 1, 5), (0, 0, 0, None), (0, 0, 1, 6), (0, 0, 1, 7)]
+    assert got("m", "key") == [(0, 0, 3, "a"), (1, 1, 3, "b"), (2, 1, 3, "c"), (0, 0, 0, None), (0, 0, 1, None), (0, 0, 2, None)]
+    assert got("m", "value", "element") == [(0, 0, 5, 1), (1, 2, 5, 2), (2, 1, 3, None), (3, 1, 4, None), (0, 0, 0, None), (0, 0, 1, None), (0, 0, 2, None)]
+    assert nested.max_levels(df.schema, "v.m.value.element") == (2, 5)
+    for bad in (("m",), ("y",), ("x", "z")):
+        with pytest.raises(KeyError):
+            got(*bad)
+
+
+def test_map_entries_refuse_other_shapes(spark):
+    one = spark.range(1)
+    entries = lambda sql: [tuple(e) for e in one.select(F.expr(sql).alias("v")).transform(lambda d: d.select(nested.map_entries_of(F.col("v"), d.schema["v"].dataType).alias("e"))).first().e or ()]
+    assert entries("array(named_struct('_1', 1, '_2', 2), named_struct('_1', 1, '_2', 3))") == [(1, 2), (1, 3)]
+    assert entries("cast(null as map<string, int>)") == entries("cast(null as array<array<int>>)") == []
+    for bad in ("array(array(1, 2, 3))", "array(array(null, 2))", "array(cast(null as struct<key: int, value: int>))"):
+        with pytest.raises(Exception, match="map (entry|key)"):
+            entries(bad)
+    with pytest.raises(TypeError):
+        entries("1")
+
+
+def test_pages_in_stretches(spark, monkeypatch):
+    monkeypatch.setattr(layout, "CHUNK", 4)
+    df = spark.range(23).toDF("page")
+    assert [r.s for r in layout.running_total(df, "page", "page", "s").orderBy("page").collect()] == [sum(range(k)) for k in range(23)]
+    for dip, want in ((None, "ASCENDING"), (8, "UNORDERED"), (9, "UNORDERED")):
+        low = F.when(F.col("page") == dip, -1).otherwise(F.when(F.col("page") % 5 != 2, F.col("page"))) if dip else F.when(F.col("page") % 5 != 2, F.col("page"))
+        assert layout.boundary_order(df.select("page", low.alias("lo"), low.alias("hi")), "lo", "hi").first()[0] == want
+    assert layout.boundary_order(df.select("page", (-F.col("page")).alias("lo"), (-F.col("page")).alias("hi")), "lo", "hi").first()[0] == "DESCENDING"
+
+
+def test_shredding_settings():
+    shape = variant.shredding_shape({"a": "INT64", "value": "STRING", "o": {"typed_value": "INT32"}, "l": [{"b": "STRING"}]})
+    assert shape == "`a` bigint, `l` array<struct<b:string>>" and variant.shredding_shape({"o": {}}) is None
+    schema = T.StructType([T.StructField("v", T.VariantType()), T.StructField("w", T.VariantType())])
+    alike = plan_write([ColumnSpec("v", "VARIANT", shredding={"a": "INT64"}), ColumnSpec("w", "VARIANT", shredding="a bigint")], schema=schema)
+    assert "`a` bigint" in alike.session.values()
+    with pytest.raises(ValueError, match="alike"):
+        plan_write([ColumnSpec("v", "VARIANT", shredding={"a": "INT64"})], schema=schema)
+    with pytest.raises(ValueError, match="no shredding shape"):
+        variant.shredding_shape({"a": 3})
+
+
+def test_annotated_values_and_order(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.createDataFrame([(3, bytes(16), 1.5), (None, None, None), (1, bytes(range(16)), -2.0)], "k int, u binary, h float")
+    sink.write_arrow(df.coalesce(1), path, [ColumnSpec("u", "UUID"), ColumnSpec("h", "FLOAT16")], sorting=["-k"])
+    t = pq.read_table(next(p for p in (tmp_path / "t").iterdir() if p.suffix == ".parquet"))
+    assert t.column("k").to_pylist() == [3, 1, None] and t.schema.field("h").type == pa.float16()
+    assert {r.column: (r.logical, r.sorting) for r in sink.footers(spark, path).collect()} == {"k": ("NONE", 0), "u": ("UUID", None), "h": ("FLOAT16", None)}
+    with pytest.raises(ValueError, match="write_arrow"):
+        sink.write_native(df, path, [ColumnSpec("u", "UUID")])
+
+
+def test_keys_at_any_level(spark):
+    df = spark.createDataFrame([('{"b":{"a":[{"c":1}]}}',), ("[1,[]]",), (None,), ("3",)], "j string").select(F.parse_json("j").alias("v"))
+    assert [tuple(r) for r in variant.all_keys(df, "v").orderBy("id").collect()] == [("a", 0), ("b", 1), ("c", 2)]
+    with pytest.raises(Exception, match="deeper"):
+        variant.all_keys(df, "v", depth=1).collect()
