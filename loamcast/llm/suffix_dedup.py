@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from loamcast.llm.common import longs, release, settled, stage, texts_of
+from loamcast.llm.common import longs, release, stage, texts_of
 
 WINDOW, GRAM, SHALLOW, HOT = 100, 32, 24, 4096
 #: Bytes of text that a task works on at once; documents beyond it go in overlapping segments.
@@ -400,7 +400,8 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     in overlapping segments. An empty table gives an empty result. Other columns of docs aren't read,
     whatever they are called. kept=False leaves the remaining bytes out.
     """
-    keyed = settled(docs.select(id_col, text_col), "documents").select(F.col(id_col), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("did"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    # Rows get their numbers once: a later scan may split the files in another way.
+    keyed = stage(docs.select(F.col(id_col).alias("ident"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("did"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text")), "documents")
     found = marks(keyed, window, gram, hot).groupBy("row").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     schema = docs.select(id_col).schema
     for c in ("n_bytes", "n_removed", "n_spans"):
@@ -422,4 +423,4 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=schema.names)
 
-    return keyed.join(found, "row", "left").select(id_col, "text", "lo", "hi").mapInArrow(run, schema)
+    return keyed.join(found, "row", "left").select("ident", "text", "lo", "hi").mapInArrow(run, schema)

@@ -333,6 +333,12 @@ def test_repeats_of_an_empty_table(spark):
     assert suffix_dedup.cut(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_repeats_under_names_of_the_operators_own(spark):
+    rows = [(2, "x" * 150), (1, "x" * 150), (None, None)]
+    got = suffix_dedup.cut(spark.createDataFrame(rows, "row long, did string"), "row", "did").drop("kept", "kept_sha256")
+    assert sorted(map(tuple, got.collect()), key=repr) == [(1, 150, 149, 1), (2, 150, 150, 1), (None, 0, 0, 0)]
+
+
 def test_deep_shallow_classes():
     r = random.Random(3)
     base = bytes(r.choice(b"ab") for _ in range(400))
