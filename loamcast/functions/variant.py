@@ -102,7 +102,7 @@ def all_keys(df: DataFrame, column: str, depth: int = 8) -> DataFrame:
     deeper = F.when(nested & (F.schema_of_variant("v") != "ARRAY<VOID>"), F.raise_error(F.lit(f"objects are nested deeper than {depth}")).cast("string"))
     rest = level.select(deeper.alias("key")).where("key is not null")
     names = found.union(rest).distinct()
-    return names.withColumn("id", F.row_number().over(Window.orderBy("key")) - 1)  # a dictionary's keys
+    return names.withColumn("id", (F.row_number().over(Window.orderBy("key")) - 1).cast("long"))  # a dictionary's keys
 
 
 def count_leaves(kind: T.DataType) -> int:
