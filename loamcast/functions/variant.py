@@ -90,18 +90,17 @@ def _shape_of(config) -> T.DataType | None:
 def all_keys(df: DataFrame, column: str, depth: int = 8) -> DataFrame:
     """Distinct object keys at any level of a variant column, in order of their bytes, with `id` from 0.
 
-    Levels are opened one after the other, `depth` at most; deeper objects are an error.
+    Levels are opened one after the other in one pass, `depth` at most; deeper objects are an error.
     """
-    tvf, level, found = df.sparkSession.tvf, df.select(F.col(column).alias("v")).where("v is not null"), None
+    tvf, name = df.sparkSession.tvf, F.col("key")
+    level = df.select(F.col(column).alias("v"), F.array().cast("array<string>").alias("names"))
     for _ in range(depth):
-        opened = level.lateralJoin(tvf.variant_explode(F.col("v").outer())).select("key", "value")
-        names = opened.where("key is not null").select("key").distinct()
-        found = names if found is None else found.union(names)
-        level = opened.where("value is not null").select(F.col("value").alias("v"))
-    nested = F.schema_of_variant("v").rlike("^(OBJECT<.|ARRAY<.)")
-    deeper = F.when(nested & (F.schema_of_variant("v") != "ARRAY<VOID>"), F.raise_error(F.lit(f"objects are nested deeper than {depth}")).cast("string"))
-    rest = level.select(deeper.alias("key")).where("key is not null")
-    names = found.union(rest).distinct()
+        opened = level.lateralJoin(tvf.variant_explode_outer(F.col("v").outer()))
+        level = opened.select(F.col("value").alias("v"), F.when(name.isNotNull(), F.array_append("names", name)).otherwise(F.col("names")).alias("names"))
+    kind = F.schema_of_variant("v")
+    deeper = kind.rlike("^(OBJECT<.|ARRAY<.)") & (kind != "ARRAY<VOID>") & (kind != "OBJECT<>")
+    checked = F.when(deeper, F.raise_error(F.lit(f"objects are nested deeper than {depth}"))).otherwise(F.col("names"))
+    names = level.select(F.explode(checked).alias("key")).distinct()
     return names.withColumn("id", (F.row_number().over(Window.orderBy("key")) - 1).cast("long"))  # a dictionary's keys
 
 
