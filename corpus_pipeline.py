@@ -2,8 +2,8 @@
 
 Each stage works on all rows that the one before it kept. A document that the quality rules reject
 goes; boilerplate lines of its source go; one document of each group of near copies stays (four fifths
-of the five-word shingles shared: SimHash fingerprints of 256 bits leave out pairs that can't be, whole
-sets settle the rest; 64 bits at op1's radius would miss most of them); the mix
+of the five-word shingles shared: SimHash fingerprints of 256 bits, compared in tiles, find the pairs and whole
+sets settle them; 64 bits at op1's radius would miss most of them); the mix
 repeats or leaves out documents to meet its sources' targets; the last stage returns token ids with
 their round-trip digests.
 """
@@ -26,7 +26,7 @@ def line_dedup_by_source(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.keep_one(docs)
+    return near_dedup.simhash_keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
