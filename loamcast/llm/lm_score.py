@@ -24,15 +24,14 @@ import heapq
 import itertools
 import math
 import zlib
-from collections import Counter
-from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loamcast.llm.common import longs, slices, stage, texts_of
+from loamcast.llm.common import longs, slices, stage
 
 #: Frequent words with outputs of their own come in classes of PER: LEAST classes, and one more for each WIDTH of
 #: the square root of the distinct words; classes of other words; hidden units.
@@ -50,6 +49,8 @@ STEPS, LANES, POOL = 32, 512, 6_000_000
 UPDATE, SPAN = 8192, 1024
 #: Tokens whose class logits are worked out at once.
 BLOCK = 2048
+#: Logits nearer to zero than this need no shift by their maximum before exp.
+FAR = 60
 #: Bound on each state's gradient as it goes back in time.
 CLIP = 8
 #: In scoring, texts of more tokens are read by tasks of their own, each for so many input partitions: a lane
@@ -72,10 +73,16 @@ def start(voc: Vocabulary) -> np.ndarray:
     return net.flat
 
 
-def tokens(text: bytes) -> list[bytes]:
-    words = text.lower().split()
-    words.append(END)
-    return words
+def tokens(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(words of all texts as binary, words of each); null is no text. Ends are left out."""
+    kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+    lists = pc.ascii_split_whitespace(texts)
+    n, words = np.asarray(pc.list_value_length(lists), np.int64), lists.flatten()
+    empty = np.asarray(pc.equal(pc.binary_length(texts), 0).cast(pa.int8()), np.int64)
+    if empty.any():  # an empty text is split into one empty word
+        n, words = n - empty, words.filter(pc.greater(pc.binary_length(words), 0))
+    return words.cast(kind).cast(pa.binary()), n
 
 
 def held_out(ident: Column) -> Column:
@@ -87,6 +94,28 @@ def other_class(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % OTHER
 
 
+def other_classes(words: pa.Array) -> np.ndarray:
+    """other_class of all words of a binary array at once."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    data, length = np.frombuffer(words.buffers()[2] or b"", np.uint8), np.diff(ends)
+    crc = np.full(len(words), 0xFFFFFFFF, np.uint32)
+    for back in (3, 2, 1):
+        rows = np.flatnonzero(length >= back)
+        old = crc[rows]
+        crc[rows] = CRC[(old ^ data[ends[1:][rows] - back]) & 255] ^ (old >> 8)
+    return (~crc % OTHER).astype(np.int32)
+
+
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, table >> 1 ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+CRC = _crc_table()
+
+
 def frequent(distinct: int) -> int:
     return PER * (LEAST + math.isqrt(distinct) // WIDTH)
 
@@ -125,7 +154,7 @@ class Net:
 
     def buffer(self, name: str, *shape: int) -> np.ndarray:
         """Memory that is used again: what a window fills is read before the next one begins."""
-        size = int(np.prod(shape))
+        size = math.prod(shape)
         if name not in self.space or len(self.space[name]) < size:
             self.space[name] = np.empty(size, np.float32)
         return self.space[name][:size].reshape(shape)
@@ -135,51 +164,68 @@ class Net:
 
         fresh marks where a document begins.
         """
+        # Gates lie in arrays of their own, so that every step reads and writes memory in one run.
         n, (steps, lanes) = HIDDEN, x.shape
         states = self.buffer("states", steps + 1, lanes, n)
         states[0] = h
-        inputs = np.take(self.E, x, axis=0, out=self.buffer("inputs", steps, lanes, 3 * n), mode="clip")
-        begins = fresh.any(axis=1)
-        kept = tuple(self.buffer(f"kept{k}", steps, lanes, n) for k in range(5)) if keep else None
-        for t in range(steps):
-            before = states[t]
-            if begins[t]:  # a copy: the state that ended the document before is still scored
-                before = before * ~fresh[t][:, None]
-            u = before @ self.U
-            gates = inputs[t, :, : 2 * n] + u[:, : 2 * n]
-            gates *= 0.5
-            np.tanh(gates, out=gates)
-            gates += 1
-            gates *= 0.5
-            new = gates[:, n:] * u[:, 2 * n :]
-            new += inputs[t, :, 2 * n :]
-            np.tanh(new, out=new)
-            if keep:
-                kept[0][t], kept[1][t], kept[2][t], kept[3][t], kept[4][t] = before, gates[:, :n], gates[:, n:], u[:, 2 * n :], new
-            after = states[t + 1]
-            np.subtract(before, new, out=after)
-            after *= gates[:, :n]
-            after += new
-        return states, states[-1].copy(), kept
+        inputs, rows, thirds = self.buffer("inputs", 3, steps, lanes, n), np.multiply(x, 3, dtype=np.intp), self.E.reshape(-1, n)
+        for k in range(3):
+            np.take(thirds, rows + k, axis=0, out=inputs[k], mode="clip")
+        mix = np.ascontiguousarray(self.U.reshape(n, 3, n).transpose(1, 0, 2))
+        np.negative(mix[:2], out=mix[:2])  # gates are 1 / (1 + exp(-sum))
+        length = steps if keep else 1
+        befores, news = self.buffer("befores", length, lanes, n), self.buffer("news", length, lanes, n)
+        gates, us = self.buffer("gates", length, 2, lanes, n), self.buffer("us", length, 3, lanes, n)
+        step, lane = np.nonzero(fresh)
+        cuts = np.searchsorted(step, np.arange(steps + 1)).tolist()
+        with np.errstate(over="ignore"):  # exp may reach infinity, where gates are 0 and tanh is 1
+            for t in range(steps):
+                at, before, after = t if keep else 0, states[t], states[t + 1]
+                if keep or cuts[t] < cuts[t + 1]:  # a copy: the state that ended the document before is still scored
+                    befores[at] = before
+                    before = befores[at]
+                    before[lane[cuts[t] : cuts[t + 1]]] = 0
+                u, gate, new = np.matmul(before, mix, out=us[at]), gates[at], news[at]
+                np.subtract(u[:2], inputs[:2, t], out=gate)
+                np.exp(gate, out=gate)
+                gate += 1
+                np.reciprocal(gate, out=gate)
+                np.multiply(gate[1], u[2], out=new)
+                new += inputs[2, t]
+                new *= 2  # tanh(a) is 1 - 2 / (exp(2 a) + 1)
+                np.exp(new, out=new)
+                new += 1
+                np.divide(2, new, out=new)
+                np.subtract(1, new, out=new)
+                np.subtract(before, new, out=after)
+                after *= gate[0]
+                after += new
+        return states, states[-1].copy(), (befores, gates[:, 0], gates[:, 1], us[:, 2], news) if keep else None
 
     def output(self, hs: np.ndarray, y: np.ndarray, grads=None):
         """Natural log probabilities of targets y (class part, and word part of frequent words).
 
         y is a frequent word's number, or self.frequent + class. With grads, also the states' gradient.
         """
-        # Classes lie along the first axis, so that sums over them run along memory.
+        # Classes lie along the first axis, so that sums over them run along memory. A last state of 1 bears the biases.
         head = self.frequent // PER
-        cls = np.where(y < self.frequent, y // PER, y - self.frequent + head).astype(np.int32)
+        small = np.int16 if self.classes < 1 << 15 else np.int32  # which numpy sorts by radix
+        cls = np.where(y < self.frequent, y // PER, y - self.frequent + head).astype(small)
         # Targets sorted by class, so that a class's columns are a slice.
         order = np.argsort(cls, kind="stable")
-        cls, y, hs = cls[order], y[order], np.take(hs, order, axis=0)
+        cls, y = cls[order], y[order]
+        ones = self.buffer("ones", len(y), HIDDEN + 1)
+        ones[:, HIDDEN] = 1
+        ones[:, :HIDDEN] = np.take(hs, order, axis=0)
+        C, W = np.vstack([self.C, self.c]).T.copy(), np.hstack([self.W, self.w[:, None]])
+        far_c, far_w = _far(C), _far(W)
         ends = np.searchsorted(cls, np.arange(head + 1)).tolist()
         lp, dh = np.empty(len(y), np.float32), None if grads is None else np.empty((len(y), HIDDEN), np.float32)
         for a in range(0, len(y), BLOCK):  # few enough at once that their logits stay in the cache
-            at = slice(a, a + BLOCK)
-            logits = self.C.T @ hs[at].T
-            logits += self.c[:, None]
-            logits -= logits.max(axis=0)
+            at = slice(a, min(a + BLOCK, len(y)))
+            logits = np.matmul(C, ones[at].T, out=self.buffer("logits", len(C), at.stop - a))
+            if far_c:
+                logits -= logits.max(axis=0)
             rows, wanted = np.arange(logits.shape[1]), cls[at]
             target = logits[wanted, rows]
             np.exp(logits, out=logits)
@@ -188,17 +234,18 @@ class Net:
             if grads is not None:
                 logits /= total
                 logits[wanted, rows] -= 1
-                grads.C += hs[at].T @ logits.T
-                grads.c += logits.sum(axis=1)
+                g = ones[at].T @ logits.T
+                grads.C += g[:HIDDEN]
+                grads.c += g[HIDDEN]
                 np.matmul(logits.T, self.C.T, out=dh[at])
         rows = np.arange(len(y))
         for k in range(head):
-            at, w = slice(ends[k], ends[k + 1]), self.W[k * PER : (k + 1) * PER]
+            at, own = slice(ends[k], ends[k + 1]), slice(k * PER, (k + 1) * PER)
             if ends[k] == ends[k + 1]:
                 continue
-            s = w @ hs[at].T
-            s += self.w[k * PER : (k + 1) * PER, None]
-            s -= s.max(axis=0)
+            s = np.matmul(W[own], ones[at].T, out=self.buffer("inner", PER, at.stop - at.start))
+            if far_w:
+                s -= s.max(axis=0)
             inner, i = y[at] - k * PER, rows[: ends[k + 1] - ends[k]]
             hit = s[inner, i]
             np.exp(s, out=s)
@@ -207,9 +254,10 @@ class Net:
             if grads is not None:
                 s /= sums
                 s[inner, i] -= 1
-                grads.W[k * PER : (k + 1) * PER] += s @ hs[at]
-                grads.w[k * PER : (k + 1) * PER] += s.sum(axis=1)
-                dh[at] += s.T @ w
+                g = s @ ones[at]
+                grads.W[own] += g[:, :HIDDEN]
+                grads.w[own] += g[:, HIDDEN]
+                dh[at] += s.T @ self.W[own]
         sorted_lp, lp = lp, np.empty_like(lp)
         lp[order] = sorted_lp
         if dh is not None:
@@ -232,38 +280,42 @@ class Net:
             dh_out = np.zeros((steps * lanes, n), np.float32)
             dh_out[on] = self.output(hs[on], targets[on], g)[1]
         dh_out = dh_out.reshape(steps, lanes, n)
-        du, dn_all, carry = self.buffer("du", steps, lanes, 3 * n), self.buffer("dn", steps, lanes, n), np.zeros((lanes, n), np.float32)
-        back, begins = np.ascontiguousarray(self.U.T), fresh.any(axis=1)
-        rest, part = np.empty_like(carry), np.empty_like(carry)
+        du, dn_all, carry = self.buffer("du", 3, steps, lanes, n), self.buffer("dn", steps, lanes, n), np.zeros((lanes, n), np.float32)
+        back, begins = np.ascontiguousarray(self.U.reshape(n, 3, n).transpose(1, 2, 0)), fresh.any(axis=1)
+        rest, part, parts = np.empty_like(carry), np.empty_like(carry), np.empty((3, lanes, n), np.float32)
         for t in range(steps - 1, -1, -1):
             carry += dh_out[t]
-            dn, d = dn_all[t], du[t]
+            dn, dz, dr, dun = dn_all[t], du[0, t], du[1, t], du[2, t]
             np.subtract(1, z[t], out=rest)
             np.subtract(before[t], new[t], out=part)
             part *= z[t]
             part *= rest
-            np.multiply(carry, part, out=d[:, :n])
+            np.multiply(carry, part, out=dz)
             np.multiply(new[t], new[t], out=part)
             np.subtract(1, part, out=part)
             part *= rest
             np.multiply(carry, part, out=dn)
-            np.multiply(dn, r[t], out=d[:, 2 * n :])
+            np.multiply(dn, r[t], out=dun)
             np.subtract(1, r[t], out=part)
             part *= un[t]
-            np.multiply(d[:, 2 * n :], part, out=d[:, n : 2 * n])
+            np.multiply(dun, part, out=dr)
             carry *= z[t]
-            carry += d @ back
+            for x_back in np.matmul(du[:, t], back, out=parts):
+                carry += x_back
             np.clip(carry, -CLIP, CLIP, out=carry)  # over a long window it could grow without bound
             if begins[t]:
                 carry[fresh[t]] = 0
-        flat = du.reshape(-1, 3 * n)
-        g.U += before.reshape(-1, n).T @ flat
-        flat[:, 2 * n :] = dn_all.reshape(-1, n)
+        olds = before.reshape(-1, n).T
+        for k in range(3):
+            g.U[:, k * n : (k + 1) * n] += olds @ du[k].reshape(-1, n)
         ids = x.ravel()
+        if len(self.E) < 1 << 15:
+            ids = ids.astype(np.int16)  # which numpy sorts by radix
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
         head = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        g.E[ids[head]] += np.add.reduceat(np.take(flat, order, axis=0), head, axis=0)
+        for k, d in enumerate((du[0], du[1], dn_all)):
+            g.E[ids[head], k * n : (k + 1) * n] += _sums(np.take(d.reshape(-1, n), order, axis=0), head)
         self.seen += len(on)
         if self.seen >= UPDATE:
             self.descend(rate)
@@ -289,6 +341,16 @@ class Net:
         grad[:], self.seen = 0, 0
 
 
+def _far(weights: np.ndarray) -> bool:
+    """Whether logits by these weights (states lie in -1 to 1, the last is 1) may leave what exp of 32-bit floats takes."""
+    return not float(np.abs(weights).sum(axis=1).max()) < FAR
+
+
+def _sums(rows: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Sums of stretches of rows that begin at head."""
+    return np.ascontiguousarray(np.add.reduceat(np.ascontiguousarray(rows.T), head, axis=1).T)
+
+
 def lay_out(docs: list[np.ndarray], begin: int, lanes: int = LANES):
     """Documents side by side: (inputs, targets, live, fresh) of steps x lanes, and each one's place.
 
@@ -358,11 +420,6 @@ def score_docs(net: Net, docs: list[np.ndarray]) -> np.ndarray:
     return np.array([lanes[k, at : at + len(d)].sum(dtype=np.float64) for d, (k, at) in zip(docs, where, strict=True)]) / np.log(10)
 
 
-def numbers(words: list[bytes], voc: Vocabulary) -> np.ndarray:
-    """Dictionary numbers of words, -1 for the rest."""
-    return np.fromiter(map(voc.words.get, words, repeat(-1)), np.int32, len(words))
-
-
 def by_length(coded: DataFrame) -> DataFrame:
     """The same rows, long texts in partitions of their own."""
     apart = coded.where(F.col("n_tokens") > LONG)
@@ -370,42 +427,64 @@ def by_length(coded: DataFrame) -> DataFrame:
 
 
 class _Coder:
-    """Words to network ids; classes of dictionary words are worked out once."""
+    """Texts to numbers and network ids; what the dictionary alone gives is worked out once."""
 
     def __init__(self, voc: Vocabulary):
-        self.voc, self.frequent = voc, voc.frequent
+        self.frequent = voc.frequent
+        self.words = pa.array(list(voc.words), pa.binary())
         ids = np.arange(len(voc.words), dtype=np.int32)
-        for k, w in enumerate(voc.words):
-            if k >= self.frequent:
-                ids[k] = self.frequent + other_class(w)
-        self.ids = np.concatenate([ids, [0]]).astype(np.int32)
-
-    def __call__(self, words: list[bytes]):
-        """(dictionary numbers, network ids)"""
-        n = numbers(words, self.voc)
-        ids = self.ids[n]
-        rest = np.flatnonzero(n < 0)
-        if len(rest):
-            ids[rest] = [self.frequent + other_class(words[k]) for k in rest.tolist()]
-        return n, ids
+        ids[self.frequent :] = self.frequent + other_classes(self.words[self.frequent :])
+        self.ids, self.logs = np.append(ids, 0).astype(np.int32), np.append(voc.log_count, 0.0)
+        self.class_words = voc.class_words
+
+    def __call__(self, column: pa.Array) -> list[pa.Array]:
+        """Columns CODED of the texts."""
+        words, n = tokens(column)
+        ends = np.cumsum(n)
+        n = n + 1
+        places = np.insert(np.arange(len(words)), ends, len(words))  # every text's words, then the end
+        words = pa.concat_arrays([words, pa.array([END], pa.binary())])
+        numbers = np.asarray(pc.fill_null(pc.index_in(words, value_set=self.words), -1))[places]
+        ids, logs, rest = self.ids[numbers], self.logs[numbers], np.flatnonzero(numbers < 0)
+        rare = words.take(pa.array(places[rest]))
+        ids[rest] = self.frequent + other_classes(rare)
+        after = np.cumsum(n)
+        first = after - n
+        # A word of a class of others has its smoothed share of the class's training tokens.
+        other = np.flatnonzero(ids >= self.frequent)
+        parts = np.zeros(len(ids))
+        parts[other] = logs[other] - self.class_words[ids[other] - self.frequent]
+        of = pa.ListArray.from_arrays(pa.array(np.searchsorted(rest, np.append(0, after)).astype(np.int32)), rare)
+        at = np.append(0, 4 * after).astype(np.int32)
+        return [
+            longs(n), longs(np.add.reduceat((numbers >= 0).astype(np.int64), first)), pa.array(np.add.reduceat(logs, first)), pa.array(np.add.reduceat(parts, first)),
+            pc.binary_join(of, b" "), pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(at), pa.py_buffer(ids)]),
+        ]
 
 
 def count_words(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """(word binary, cls int, c long): counts of all tokens of all texts."""
 
     def run(batches):
+        def joined(held):
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
         def flush(c):
-            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array([other_class(w) for w in c], pa.int32()), longs(list(c.values()))], names=["word", "cls", "n"])
+            for b in c.to_batches(400_000):
+                yield pa.RecordBatch.from_arrays([b["word"], pa.array(other_classes(b["word"])), b["n"]], names=["word", "cls", "n"])
 
-        c: Counter[bytes] = Counter()
+        held = []
         for b in batches:
-            for x in texts_of(b.column(0)):
-                c.update(tokens(x))
-                if len(c) > 400_000:
-                    yield flush(c)
-                    c = Counter()
-        if c:
-            yield flush(c)
+            for piece in slices(b, 0, 32 << 20):
+                words, n = tokens(piece.column(0))
+                found = pc.value_counts(words)
+                held += [pa.table({"word": found.field(0), "n": found.field(1)}), pa.table({"word": pa.array([END], pa.binary()), "n": longs([len(n)])})]
+                if sum(map(len, held)) > 400_000:
+                    held = [joined(held)]
+                    if len(held[0]) > 400_000:
+                        yield from flush(held.pop())
+        if held:
+            yield from flush(joined(held))
 
     rows = texts.select(text_col).mapInArrow(run, "word binary, cls int, n long")
     return rows.groupBy("word").agg(F.first("cls").alias("cls"), F.sum("n").alias("c"))
@@ -457,23 +536,11 @@ def code(rows: DataFrame, voc, text_col: str = "text") -> DataFrame:
         schema = schema.add(c, kind)
 
     def run(batches):
-        v = voc.value
-        coder = _Coder(v)
+        coder = _Coder(voc.value)
         for whole in batches:
             for b in slices(whole, at):
-                out = []
-                for x in texts_of(b.column(at)):
-                    words = tokens(x)
-                    n, ids = coder(words)
-                    known, other = n >= 0, ids >= coder.frequent
-                    logs = v.log_count[n[known]]
-                    # A word of a class of others has its smoothed share of the class's training tokens.
-                    part = logs[other[known]].sum() - v.class_words[ids[other] - coder.frequent].sum()
-                    rare = b" ".join([words[k] for k in np.flatnonzero(~known).tolist()])
-                    out.append((len(words), int(known.sum()), float(logs.sum()), float(part), rare, ids.tobytes()))
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary())
                 heads = [c for k, c in enumerate(b.columns) if k != at]
-                yield pa.RecordBatch.from_arrays([*heads, *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*heads, *coder(b.column(at))], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
