@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -20,6 +21,8 @@ from loamcast.sources.annotate import ARROW, annotated, annotated_schema
 from loamcast.types import ColumnSpec
 
 FORMAT = "loamcast"
+#: Bytes of an open row group that a writer holds in memory.
+HELD = 256 << 20
 
 
 def write_native(df: DataFrame, path: str, specs: Sequence[ColumnSpec] = (), mode: str = "overwrite", **layout) -> None:
@@ -47,22 +50,50 @@ def group_sizes(sizes: Sequence[int]) -> Iterator[int]:
         yield sizes[-1]
 
 
+class _Held:
+    """Batches of the open row group; beyond HELD bytes they go to a temporary file, which is mapped to be read."""
+
+    def __init__(self, schema: pa.Schema):
+        self.schema, self.batches, self.bytes, self.file, self.out = schema, [], 0, None, None
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        self.batches.append(batch)
+        self.bytes += batch.nbytes
+        if self.bytes > HELD:
+            if self.file is None:
+                self.file = tempfile.NamedTemporaryFile(prefix="loamcast-group-")
+                self.out = pa.ipc.new_file(self.file.name, self.schema)
+            for b in self.batches:
+                self.out.write_batch(b)
+            self.batches, self.bytes = [], 0
+
+    def write(self, writer: pq.ParquetWriter, rows: int) -> None:
+        parts = []
+        if self.file is not None:
+            self.out.close()
+            spilled = pa.ipc.open_file(pa.memory_map(self.file.name))
+            parts = [spilled.get_batch(k) for k in range(spilled.num_record_batches)]
+        writer.write_table(pa.Table.from_batches(parts + self.batches, self.schema), row_group_size=rows)
+        if self.file is not None:
+            self.file.close()
+
+
 def write_groups(writer: pq.ParquetWriter, batches: Iterator[pa.RecordBatch], sizes: Sequence[int], schema: pa.Schema) -> int:
-    """Write batches as row groups of given sizes, holding one group at most; returns the rows."""
-    held, rows, total, plan = [], 0, 0, group_sizes(sizes)
+    """Write batches as row groups of given sizes, holding HELD bytes of one group at most; returns the rows."""
+    held, rows, total, plan = _Held(schema), 0, 0, group_sizes(sizes)
     want = next(plan)
     for b in batches:
         at = 0
         while at < b.num_rows:
             part = b.slice(at, want - rows)
-            held.append(part)
+            held.add(part)
             rows += part.num_rows
             at += part.num_rows
             if rows == want:
-                writer.write_table(pa.Table.from_batches(held, schema), row_group_size=rows)
-                total, held, rows, want = total + rows, [], 0, next(plan)
-    if held:
-        writer.write_table(pa.Table.from_batches(held, schema), row_group_size=rows)
+                held.write(writer, rows)
+                total, held, rows, want = total + rows, _Held(schema), 0, next(plan)
+    if rows:
+        held.write(writer, rows)
     return total + rows
 
 
