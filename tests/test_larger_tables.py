@@ -3,9 +3,12 @@ from pathlib import Path
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 from oracle import check
+from pyspark.sql import functions as F
 
 from loamcast import catalog
+from loamcast.operators.order import numbered
 from loamcast.sources import sink
 
 ORDERS = "select i as o_orderkey, i % 977 as o_custkey, 'O' as o_orderstatus, i / 7.0 as o_totalprice, timestamp '1995-01-01' as o_orderdate, 'LOW' as o_orderpriority from range(101500) r(i)"
@@ -34,3 +37,18 @@ def test_large_row_groups_pass_through_a_file(tmp_path, monkeypatch):
     m = pq.read_metadata(tmp_path / "t.parquet")
     assert [m.row_group(k).num_rows for k in range(m.num_row_groups)] == [1000, 8900, 100]
     assert pq.read_table(tmp_path / "t.parquet").equals(table)
+
+
+@pytest.mark.parametrize("kind", ["int", "double", "string", "timestamp", "decimal(9,2)", "binary"])
+def test_numbers_over_many_ranges(spark, kind):
+    n = 3000
+    a = F.when(F.col("id") % 50 == 0, None).otherwise((F.col("id") * 7919 % 1009).cast("int"))
+    a = a.cast("string").cast("binary") if kind == "binary" else a.cast(kind)
+    a = F.when(F.col("id") % 77 == 1, float("nan")).otherwise(a) if kind == "double" else a
+    df = spark.range(n).select(a.alias("a"), F.col("id").alias("b"))
+    got = numbered(df, ["a", "b"], ranges=300)
+    # Deals rows out by a few halvings, not by a test for each range.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CASE WHEN") + plan.count("cast(") < 60
+    want = [r.b for r in df.orderBy("a", "b").select("b").collect()]
+    assert [(r.pos, r.b) for r in got.orderBy("pos").collect()] == list(enumerate(want))
