@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from loamcast.operators.order import numbered
+from loamcast.storage import shared_path
 
 SAMPLE, MOST = 1000, 0.5
 
@@ -27,10 +28,16 @@ def dictionary_choice(df: DataFrame, order_by: list[str], columns: list[str] | N
 
 
 def build_dictionary(df: DataFrame, column: str, order_by: list[str]) -> DataFrame:
-    """(value, index, n): distinct non-null values in order of first appearance."""
-    at = numbered(df.where(F.col(column).isNotNull()), order_by)
-    firsts = at.groupBy(F.col(column).alias("value")).agg(F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("n"))
-    return numbered(firsts, ["first_pos"], "index").select("value", "index", "n")
+    """(value, index, n): distinct non-null values in order of first appearance.
+
+    Only each value's first row is put in order, by its order_by; the dictionary is written once, as numbering reads it again.
+    """
+    keys = [f"__k{k}" for k in range(len(order_by))]
+    rows = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value"), F.struct(*(F.col(c).alias(k) for c, k in zip(order_by, keys, strict=True))).alias("first"))
+    firsts = rows.groupBy("value").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n"))
+    path = shared_path(df.sparkSession, "dictionary")
+    firsts.select("value", "n", "first.*").write.parquet(path)
+    return numbered(df.sparkSession.read.parquet(path), keys, "index").select("value", "index", "n")
 
 
 def dictionary_encode(df: DataFrame, column: str, order_by: list[str]) -> DataFrame:
