@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 FPP, MOST = 0.01, 1 << 20
 #: Types whose plain bytes are hashed as readers expect; others get no filter.
@@ -91,16 +91,17 @@ def build_filters(df: DataFrame, column: str, group: str = "row_group", fpp: flo
     if kind not in HASHABLE:
         raise ValueError(f"{column} of type {kind} gets no Bloom filter")
     values = df.where(F.col(column).isNotNull()).select(group, column).distinct()
-    sized = values.groupBy(group).agg(F.count(F.lit(1)).alias("ndv")).withColumn("size", filter_bytes(F.col("ndv"), fpp))
-    schema = T.StructType([T.StructField(group, df.schema[group].dataType), T.StructField("filter", T.BinaryType())])
+    # Counted where they are put together, so that df is computed once.
+    counted = values.withColumn("ndv", F.count(F.lit(1)).over(Window.partitionBy(group)))
+    sized = counted.withColumn("size", filter_bytes(F.col("ndv"), fpp))
+    schema = T.StructType([T.StructField(group, df.schema[group].dataType), T.StructField("ndv", T.LongType()), T.StructField("filter", T.BinaryType())])
 
     def run(key, table):
         hashes = xxh64(table.column(column).combine_chunks())
         made = create_filter(hashes, table.column("size")[0].as_py())
-        return pa.table({group: pa.array([key[0].as_py()], table.schema.field(group).type), "filter": pa.array([made], pa.binary())})
+        return pa.table({group: pa.array([key[0].as_py()], table.schema.field(group).type), "ndv": pa.array([table.num_rows], pa.int64()), "filter": pa.array([made], pa.binary())})
 
-    made = values.join(sized.select(group, "size"), group).groupBy(group).applyInArrow(run, schema)
-    return sized.drop("size").join(made, group)
+    return sized.select(group, column, "size").groupBy(group).applyInArrow(run, schema)
 
 
 def filter_candidates(filters: DataFrame, probes: DataFrame, probe: str = "probe", group: str = "row_group") -> DataFrame:

@@ -8,6 +8,7 @@ from oracle import check
 from pyspark.sql import functions as F
 
 from loamcast import catalog
+from loamcast.operators import bloom, dictionary
 from loamcast.operators.order import numbered
 from loamcast.sources import sink
 
@@ -52,3 +53,20 @@ def test_numbers_over_many_ranges(spark, kind):
     assert plan.count("CASE WHEN") + plan.count("cast(") < 60
     want = [r.b for r in df.orderBy("a", "b").select("b").collect()]
     assert [(r.pos, r.b) for r in got.orderBy("pos").collect()] == list(enumerate(want))
+
+
+def test_dictionary_orders_only_first_rows(spark, tmp_path):
+    rows = [(None if i % 11 == 0 else f"v{i * 7 % 13}", None if i % 17 == 0 else i * 31 % 101, float("nan") if i % 19 == 0 else -i / 3) for i in range(400)]
+    spark.createDataFrame(rows, "v string, a int, b double").write.parquet(str(tmp_path / "in"))
+    got = dictionary.build_dictionary(spark.read.parquet(str(tmp_path / "in")), "v", ["a", "b"])
+    assert not any("/in/" in f for f in got.inputFiles())  # the table isn't numbered
+    order = sorted((r for r in rows if r[0] is not None), key=lambda r: (r[1] is not None, r[1] or 0, r[2] != r[2], 0.0 if r[2] != r[2] else r[2]))
+    want = list(dict.fromkeys(r[0] for r in order))
+    assert [(r["value"], r["index"], r["n"]) for r in got.orderBy("index").collect()] == [(v, k, sum(r[0] == v for r in rows)) for k, v in enumerate(want)]
+
+
+def test_filters_compute_their_rows_once(spark, tmp_path):
+    spark.range(5000).selectExpr("id % 700 as x", "id div 1000 as row_group").write.parquet(str(tmp_path / "in"))
+    got = bloom.build_filters(spark.read.parquet(str(tmp_path / "in")), "x")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    assert got.columns == ["row_group", "ndv", "filter"] and {r.ndv for r in got.collect()} == {700}
