@@ -70,3 +70,13 @@ def test_filters_compute_their_rows_once(spark, tmp_path):
     got = bloom.build_filters(spark.read.parquet(str(tmp_path / "in")), "x")
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
     assert got.columns == ["row_group", "ndv", "filter"] and {r.ndv for r in got.collect()} == {700}
+
+
+def test_row_group_stats_plan_is_small_at_many_partitions(spark, sf):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        plan = catalog.row_group_stats(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert plan.count("CASE WHEN") + plan.count("cast(") < 100
